@@ -2,15 +2,67 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import bpe_roundtrip
 from .common import table
+from .compression_quality import scores
+from .fingerprints import fingerprints
+from .lattice_lm import lattice_scores
+from .near_dedup import near_duplicates
+from .packing import pack
+from .quality_rules import OWN, judged
+from .secret_scan import scan
 from .suffix_dedup import dedup_windows
+from .url_filter import judge, judge_sql
+
+
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *OWN)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLES: dict[str, str] = {}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_compression_quality, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_url_filter,
+        op6_packing, op7_byte_bpe, op8_fingerprints, op9_minhash_near_dedup, op10_lattice_lm,
+    )
+}
+ORACLES: dict[str, str] = {"op5_url_filter": judge_sql()}
