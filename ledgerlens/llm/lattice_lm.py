@@ -1,13 +1,13 @@
 """Language-model scores over a subword lattice, and an add-one word model beside them.
 
 The vocabulary is that of an existing tokenizer. Its scores order its pieces; the first weights fall as one over the
-rank, and one round of expected counts over the corpus's words re-estimates them. A word's probability is the sum over all its segmentations,
+rank, and ROUNDS rounds of expected counts over the corpus's words re-estimate them. A word's probability is the sum over all its segmentations,
 by a forward recursion in scaled log space; a text's is the product over its words and an end. Single characters fall back
 to the vocabulary's byte pieces, so every text has a probability, and the weights of pieces and end sum to one.
 
 Documents are read once. Each batch keeps its texts as numbers of its own distinct words, and posts those words, once
 each with their training counts, to buckets by hash. Buckets add up counts over all batches, learn expected counts of
-pieces (at most as many rows as the vocabulary reach the driver) and answer with each word's count and log probability.
+pieces (summed by a tree, a vector of its size at a time, about sqrt(buckets) of which reach the driver) and answer with each word's count and log probability.
 
 Defined cases: null text is empty and scores its end token; a null id is never held out; words of any length are
 scaled, never underflow; repeated rows count as documents each; an empty table gives no rows.
@@ -32,7 +32,8 @@ END = b"\n"
 END_PIECE = "\n"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH_BYTES = 8 << 20
-N_ROW, V_ROW = -1, -2
+ROUNDS = 2
+N_ROW, V_ROW = -2, -1
 TINY, SCALE = 1e-120, 1e120
 
 
@@ -214,16 +215,33 @@ def _bucket_words(posts: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]
     return lists, total
 
 
-def _learn(posts: pa.Table, path: str) -> pa.Table:
+def _learn(posts: pa.Table, path: str, weights: dict[int, float] | None, fan: int) -> pa.Table:
+    """One row: expected uses of all pieces over the bucket's words, then N and V."""
     _, total = _bucket_words(posts)
-    lattice = first_lattice(path)
-    uses = np.zeros(len(lattice.names))
+    lattice = Lattice(path, weights) if weights else first_lattice(path)
+    uses = np.zeros(len(lattice.names) + 2)
     for w, c in total.items():
         if c:
             lattice.expect(w, c, uses)
-    at = np.flatnonzero(uses)
-    known = [c for c in total.values() if c]
-    return pa.table({"piece": pa.array([*at.tolist(), N_ROW, V_ROW], pa.int32()), "uses": pa.array([*uses[at].tolist(), float(sum(known)), float(len(known))], pa.float64())})
+            uses[N_ROW] += c
+            uses[V_ROW] += 1
+    return _uses_row(posts.column("bucket")[0].as_py() % fan, uses)
+
+
+def _uses_row(part: int, uses: np.ndarray) -> pa.Table:
+    return pa.table({"part": pa.array([part], pa.int64()), "uses": pa.array([packed(uses)], pa.binary())})
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    return _uses_row(rows.column("part")[0].as_py(), np.sum([unpacked(x, np.float64) for x in rows.column("uses").to_pylist()], axis=0))
+
+
+def learnt_uses(posts: DataFrame, path: str, weights: dict[int, float] | None, buckets: int) -> np.ndarray:
+    """Sums by a tree: a row of the vocabulary's size for each bucket, then for each part of about sqrt(buckets)."""
+    fan = math.isqrt(buckets) + 1
+    rows = posts.groupBy("bucket").applyInArrow(lambda t: _learn(t, path, weights, fan), "part long, uses binary")
+    rows = rows.groupBy("part").applyInArrow(lambda t: _added(t), "part long, uses binary").collect()
+    return np.sum([unpacked(bytes(r["uses"]), np.float64) for r in sorted(rows, key=lambda r: r["part"])] or [np.zeros(2)], axis=0)
 
 
 def _answer(posts: pa.Table, path: str, weights: dict[int, float]) -> pa.Table:
@@ -250,16 +268,18 @@ def _score(kept: pa.Table, answers: pa.Table, total: int, words: int, id_col: st
     })
 
 
-def lattice_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def lattice_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words) and score (the lattice's), in log10."""
     buckets = 2 * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = checkpoint(rows.mapInArrow(lambda it: _number(it, buckets, batch_bytes), "kind int, batch long, bucket long, a binary, b binary, c binary"))
     posts = read.where("kind = 1").select("batch", "bucket", "a", "b")
-    learnt = posts.groupBy("bucket").applyInArrow(lambda t: _learn(t, vocabulary), "piece int, uses double")
-    learnt = {r[0]: r[1] for r in learnt.groupBy("piece").agg(F.sum("uses")).collect()}
-    total, words = (int(learnt.pop(k, 0)) for k in (N_ROW, V_ROW))
-    answers = posts.groupBy("bucket").applyInArrow(lambda t: _answer(t, vocabulary, learnt), "batch long, bucket long, a binary, b binary")
+    weights, total, words = None, 0, 0
+    for _ in range(rounds):
+        uses = learnt_uses(posts, vocabulary, weights, buckets)
+        total, words = round(uses[N_ROW]), round(uses[V_ROW])
+        weights = {int(k): float(uses[k]) for k in np.flatnonzero(uses[:-2])}
+    answers = posts.groupBy("bucket").applyInArrow(lambda t: _answer(t, vocabulary, weights), "batch long, bucket long, a binary, b binary")
     kept = read.where("kind = 0").select("batch", "a", "b", "c")
     out = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return kept.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: _score(a, b, total, words, id_col), out)
