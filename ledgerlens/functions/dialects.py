@@ -13,7 +13,8 @@ class Spark:
 
     def grams(self, table: str, key: str, text: str, where: str = "TRUE") -> str:
         """Rows (key, term): the two-character strings of the raw text."""
-        return f"SELECT {key}, substr({text}, i, 2) AS term FROM {table} LATERAL VIEW explode(sequence(1, greatest(length({text}) - 1, 1))) e AS i WHERE length({text}) > 1 AND {where}"
+        chars = f"SELECT {key}, regexp_extract_all({text}, '(?s).', 0) AS c FROM {table} WHERE {where}"
+        return f"SELECT {key}, term FROM ({chars}) LATERAL VIEW explode(zip_with(c, slice(c, 2, size(c)), (x, y) -> x || y)) e AS term WHERE term IS NOT NULL"
 
     def normal(self, text: str) -> str:
         return rf"trim(regexp_replace({text}, '\\s+', ' '))"
@@ -51,7 +52,7 @@ class Duck(Spark):
         return f"SELECT {key}, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS term FROM (SELECT {key}, regexp_extract_all(lower({text}), {self.pattern}) AS x FROM {table} WHERE {where})"
 
     def grams(self, table: str, key: str, text: str, where: str = "TRUE") -> str:
-        return f"SELECT {key}, substr({text}, i, 2) AS term FROM (SELECT {key}, {text}, unnest(range(1, greatest(length({text}), 2))) AS i FROM {table} WHERE length({text}) > 1 AND {where})"
+        return f"SELECT {key}, x || y AS term FROM (SELECT {key}, unnest(c[1:len(c) - 1]) AS x, unnest(c[2:]) AS y FROM (SELECT {key}, string_split({text}, '') AS c FROM {table} WHERE length({text}) > 1 AND {where}))"
 
     def normal(self, text: str) -> str:
         return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
@@ -60,7 +61,7 @@ class Duck(Spark):
         return f"sha256({text})"
 
     def dot(self, a: str, b: str) -> str:
-        return f"list_sum(list_transform(list_zip({a}, {b}), p -> CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+        return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
     def array(self, term: str, order: str) -> str:
         return f"string_agg({term}, ' ' ORDER BY {order})"

@@ -103,8 +103,8 @@ SELECT item_id, doc_id, span, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row
     "topics_name_or_content": lambda d: f"""WITH {segmented(d)}, by_name AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON substr(d.text, 1, 12) = substr(b.text, 1, 12))
 SELECT coalesce(n.item_id, c.item_id) AS item_id, coalesce(n.doc_id, c.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'content' WHEN c.doc_id IS NULL THEN 'name' ELSE 'both' END AS found_by FROM by_name n FULL OUTER JOIN segmented c ON c.item_id = n.item_id AND c.doc_id = n.doc_id""",
     "shingle_jaccard": lambda d: f"""WITH words AS ({d.tokens('conversations', 'conv_id, turn', 'text')}), sh AS (SELECT DISTINCT conv_id, turn, term || ' ' || t2 || ' ' || t3 AS s FROM (SELECT conv_id, turn, term, lead(term, 1) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM words WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)) x WHERE t3 IS NOT NULL),
-n AS (SELECT conv_id, turn, count(*) AS n FROM sh GROUP BY conv_id, turn), both AS (SELECT a.conv_id, a.turn AS x, b.turn AS y, count(*) AS n FROM sh a JOIN sh b ON a.conv_id = b.conv_id AND a.s = b.s AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn)
-SELECT b.conv_id, b.x, b.y, round(CAST(b.n AS DOUBLE) / (p.n + q.n - b.n), 6) AS jaccard FROM both b JOIN n p ON p.conv_id = b.conv_id AND p.turn = b.x JOIN n q ON q.conv_id = b.conv_id AND q.turn = b.y""",
+n AS (SELECT conv_id, turn, count(*) AS n FROM sh GROUP BY conv_id, turn), met AS (SELECT a.conv_id, a.turn AS x, b.turn AS y, count(*) AS n FROM sh a JOIN sh b ON a.conv_id = b.conv_id AND a.s = b.s AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn)
+SELECT b.conv_id, b.x, b.y, round(CAST(b.n AS DOUBLE) / (p.n + q.n - b.n), 6) AS jaccard FROM met b JOIN n p ON p.conv_id = b.conv_id AND p.turn = b.x JOIN n q ON q.conv_id = b.conv_id AND q.turn = b.y""",
     "gone_sections": lambda d: f"WITH h AS ({d.headings()}), now AS (SELECT title FROM h WHERE page_id % 2 = 0) SELECT DISTINCT h.title FROM h WHERE page_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM now WHERE now.title = h.title)",
     "rendered_passages": lambda d: f"SELECT doc_id, lang || ': ' || substr(text, 1, 60) AS passage, {d.octets('text')} AS bytes, {d.sha('text')} AS content_hash FROM documents",
     "ndcg10": lambda d: f"""WITH {fused(d)}, {qrels(d)}, judged AS (SELECT item_id, count(*) AS relevant FROM qrels GROUP BY item_id),
@@ -114,7 +114,7 @@ SELECT b.item_id, round(coalesce(g.dcg / i.best, 0), 6) AS ndcg FROM benchmark b
     "recall50": lambda d: f"""WITH {fused(d)}, {qrels(d)} SELECT q.item_id, CAST(count(*) AS BIGINT) AS judged, CAST(count_if(f.place <= 50) AS BIGINT) AS found, CAST(count_if(f.place BETWEEN 11 AND 50) AS BIGINT) AS deep FROM qrels q LEFT JOIN fused f ON f.item_id = q.item_id AND f.doc_id = q.doc_id GROUP BY q.item_id""",
     "recall_any_all": lambda d: f"""WITH {fused(d)}, {qrels(d)}, hits AS (SELECT q.item_id, max(CASE WHEN f.place <= 5 THEN 1 ELSE 0 END) AS any5, min(CASE WHEN f.place <= 5 THEN 1 ELSE 0 END) AS all5 FROM qrels q LEFT JOIN fused f ON f.item_id = q.item_id AND f.doc_id = q.doc_id GROUP BY q.item_id)
 SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(any5), 6) AS recall_any, round(avg(all5), 6) AS recall_all FROM hits""",
-    "kendall_agreement": lambda d: f"""WITH {lists(d)}, both AS (SELECT s.item_id, s.doc_id, s.place AS x, n.place AS y FROM segmented s JOIN ngram n ON n.item_id = s.item_id AND n.doc_id = s.doc_id),
-pairs AS (SELECT a.item_id, sign(CAST(a.x - b.x AS DOUBLE)) * sign(CAST(a.y - b.y AS DOUBLE)) AS agree FROM both a JOIN both b ON a.item_id = b.item_id AND a.doc_id < b.doc_id)
+    "kendall_agreement": lambda d: f"""WITH {lists(d)}, met AS (SELECT s.item_id, s.doc_id, s.place AS x, n.place AS y FROM segmented s JOIN ngram n ON n.item_id = s.item_id AND n.doc_id = s.doc_id),
+pairs AS (SELECT a.item_id, sign(CAST(a.x - b.x AS DOUBLE)) * sign(CAST(a.y - b.y AS DOUBLE)) AS agree FROM met a JOIN met b ON a.item_id = b.item_id AND a.doc_id < b.doc_id)
 SELECT item_id, CAST(count(*) AS BIGINT) AS pairs, round(avg(agree), 6) AS agreement FROM pairs GROUP BY item_id""",
 }
