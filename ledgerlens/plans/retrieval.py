@@ -94,8 +94,8 @@ SELECT query_id, vec_id, cosine, CAST(place AS BIGINT) AS place FROM (SELECT *,
     "search_reranked": lambda d: f"WITH {reranked(d)} SELECT item_id, doc_id, CAST(fused_place AS BIGINT) AS fused_place, blend, CAST(place AS BIGINT) AS place FROM placed WHERE place <= 10",
     "why_trace": lambda d: f"WITH {fused(d)} SELECT item_id, doc_id, {d.array('channel', 'channel')} AS channels, CAST(min(place) AS BIGINT) AS best_place, round(sum(part), 6) AS score FROM shared GROUP BY item_id, doc_id",
     "channel_leave_one_out": lambda d: f"WITH {fused(d)} SELECT s.item_id, x.dropped, s.doc_id, round(sum(s.part), 6) AS score FROM shared s JOIN (SELECT 'segmented' AS dropped UNION ALL SELECT 'ngram') x ON s.channel <> x.dropped GROUP BY s.item_id, x.dropped, s.doc_id",
-    "seed_interleave": lambda d: f"""WITH {lists(d)}, best AS (SELECT item_id, doc_id, min(place * 10 + CASE channel WHEN 'segmented' THEN 0 ELSE 1 END) AS at, max(CAST(11 AS DOUBLE) / (10 + place)) AS relevance FROM lists GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, round(relevance, 6) AS relevance, CAST(seed AS BIGINT) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS seed FROM best) r WHERE seed <= 64""",
+    "seed_interleave": lambda d: f"""WITH {lists(d)}, best AS (SELECT item_id, doc_id, min(place * 10 + CASE channel WHEN 'segmented' THEN 0 ELSE 1 END) AS first_met, max(CAST(11 AS DOUBLE) / (10 + place)) AS relevance FROM lists GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(relevance, 6) AS relevance, CAST(seed AS BIGINT) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first_met) AS seed FROM best) r WHERE seed <= 64""",
     "span_windows": lambda d: f"WITH {spans(d)} SELECT doc_id, ordinal, CAST(tokens AS BIGINT) AS tokens, CAST(first_token AS BIGINT) AS first_token, CAST(last_token AS BIGINT) AS last_token FROM spans",
     "best_span_collapse": lambda d: f"""WITH words AS ({d.tokens('documents', 'doc_id', 'text')}), asked AS (SELECT DISTINCT item_id, term FROM ({d.tokens('benchmark', 'item_id', 'text')}) q WHERE pos < 12),
 hits AS (SELECT item_id, doc_id, CAST(floor(pos / 200) AS BIGINT) AS span, count(*) AS votes FROM words w JOIN asked a ON a.term = w.term GROUP BY item_id, doc_id, CAST(floor(pos / 200) AS BIGINT))
