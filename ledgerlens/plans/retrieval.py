@@ -24,12 +24,11 @@ def bm25(d, name: str, postings: str, terms: str, depth: int = 50) -> str:
 
 
 def segmented(d) -> str:
-    asked = d.tokens("benchmark", "item_id", "text")
-    return bm25(d, "segmented", d.tokens("documents", "doc_id", "text"), f"SELECT item_id, term FROM ({asked}) first_words WHERE pos < 12")
+    return bm25(d, "segmented", d.tokens("documents", "doc_id", "text"), d.tokens("benchmark", "item_id", "text"))
 
 
 def ngram(d) -> str:
-    return bm25(d, "ngram", d.grams("documents", "doc_id", "text"), d.grams("(SELECT item_id, substr(text, 1, 40) AS text FROM benchmark)", "item_id", "text"))
+    return bm25(d, "ngram", d.grams("documents", "doc_id", "text"), d.grams("benchmark", "item_id", "text"))
 
 
 def lists(d) -> str:
@@ -81,7 +80,7 @@ spans AS (SELECT doc_id, CAST(floor(pos / 200) AS BIGINT) AS ordinal, count(*) A
 QUERIES = {
     "bm25_segmented": lambda d: f"WITH {segmented(d)} SELECT item_id, doc_id, score, CAST(place AS BIGINT) AS place FROM segmented",
     "bm25_ngram": lambda d: f"WITH {ngram(d)} SELECT item_id, doc_id, score, CAST(place AS BIGINT) AS place FROM ngram",
-    "and_probe": lambda d: f"""WITH asked AS (SELECT DISTINCT item_id, term FROM ({d.tokens('benchmark', 'item_id', 'text')}) q WHERE pos < 3), wanted AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id),
+    "and_probe": lambda d: f"""WITH asked AS (SELECT DISTINCT item_id, term FROM ({d.tokens('benchmark', 'item_id', 'text')}) q), wanted AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id),
 has AS (SELECT DISTINCT doc_id, term FROM ({d.tokens('documents', 'doc_id', 'text')}) t WHERE term IN (SELECT term FROM asked))
 SELECT a.item_id, h.doc_id FROM asked a JOIN has h ON h.term = a.term JOIN wanted w ON w.item_id = a.item_id GROUP BY a.item_id, h.doc_id, w.n HAVING count(*) = w.n""",
     # every vector whose id is divisible by 50, against all
@@ -97,7 +96,7 @@ SELECT query_id, vec_id, cosine, CAST(place AS BIGINT) AS place FROM (SELECT *,
     "seed_interleave": lambda d: f"""WITH {lists(d)}, best AS (SELECT item_id, doc_id, min(place * 10 + CASE channel WHEN 'segmented' THEN 0 ELSE 1 END) AS first_met, max(CAST(11 AS DOUBLE) / (10 + place)) AS relevance FROM lists GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(relevance, 6) AS relevance, CAST(seed AS BIGINT) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first_met) AS seed FROM best) r WHERE seed <= 64""",
     "span_windows": lambda d: f"WITH {spans(d)} SELECT doc_id, ordinal, CAST(tokens AS BIGINT) AS tokens, CAST(first_token AS BIGINT) AS first_token, CAST(last_token AS BIGINT) AS last_token FROM spans",
-    "best_span_collapse": lambda d: f"""WITH words AS ({d.tokens('documents', 'doc_id', 'text')}), asked AS (SELECT DISTINCT item_id, term FROM ({d.tokens('benchmark', 'item_id', 'text')}) q WHERE pos < 12),
+    "best_span_collapse": lambda d: f"""WITH words AS ({d.tokens('documents', 'doc_id', 'text')}), asked AS (SELECT DISTINCT item_id, term FROM ({d.tokens('benchmark', 'item_id', 'text')}) q),
 hits AS (SELECT item_id, doc_id, CAST(floor(pos / 200) AS BIGINT) AS span, count(*) AS votes FROM words w JOIN asked a ON a.term = w.term GROUP BY item_id, doc_id, CAST(floor(pos / 200) AS BIGINT))
 SELECT item_id, doc_id, span, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY votes DESC, span) AS n FROM hits) r WHERE n = 1""",
     "topics_name_or_content": lambda d: f"""WITH {segmented(d)}, by_name AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON substr(d.text, 1, 12) = substr(b.text, 1, 12))
