@@ -13,9 +13,9 @@ edge_versions AS (SELECT src, dst, created_at, confidence, row_number() OVER (PA
 live AS (SELECT src, dst, confidence FROM edge_versions WHERE invalidated_at IS NULL),
 ends AS (SELECT src AS a, dst AS b, confidence FROM live UNION ALL SELECT dst AS a, src AS b, confidence FROM live)"""
 
-#: Two hops from every 100th part: the first hop to arrive wins, then the higher confidence; never back to the origin.
+#: Two hops from every part: the first hop to arrive wins, then the higher confidence; never back to the origin.
 WALK = f"""{VERSIONS},
-seeds AS (SELECT p_partkey AS origin FROM part WHERE p_partkey % 100 = 0),
+seeds AS (SELECT p_partkey AS origin FROM part),
 hop1 AS (SELECT origin, b AS node, max(confidence) AS confidence FROM seeds JOIN ends ON a = origin WHERE b <> origin GROUP BY origin, b),
 hop2 AS (SELECT h.origin, e.b AS node, max(least(h.confidence, e.confidence)) AS confidence FROM hop1 h JOIN ends e ON e.a = h.node WHERE e.b <> h.origin GROUP BY h.origin, e.b),
 walk AS (SELECT origin, node, 1 AS hops, confidence FROM hop1 UNION ALL
@@ -36,7 +36,7 @@ SELECT src, dst, CAST(version AS BIGINT) AS version, confidence FROM marked, mom
     "edge_retract": lambda d: f"WITH {VERSIONS}, kept AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_orderkey % 2 = 0) SELECT l.src, l.dst, 'closed' AS reason FROM live l WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.src = l.src AND k.dst = l.dst)",
     "edge_assert": lambda d: f"WITH {VERSIONS} SELECT src, dst, CAST(count(*) AS BIGINT) AS claims, CAST(count_if(before IS DISTINCT FROM confidence) AS BIGINT) AS appended FROM told GROUP BY src, dst",
     "lateral_topk_edges": lambda d: f"WITH {VERSIONS} SELECT a, b, confidence, CAST(n AS BIGINT) AS place FROM (SELECT a, b, confidence, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, b) AS n FROM ends) WHERE n <= 5",
-    "endpoint_union_join": lambda d: f"WITH {VERSIONS}, front AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 = 0) SELECT DISTINCT src, dst, confidence FROM (SELECT l.* FROM live l JOIN front f ON l.src = f.k UNION ALL SELECT l.* FROM live l JOIN front f ON l.dst = -f.k)",
+    "endpoint_union_join": lambda d: f"WITH {VERSIONS}, front AS (SELECT s_suppkey AS k FROM supplier) SELECT DISTINCT src, dst, confidence FROM (SELECT l.* FROM live l JOIN front f ON l.src = f.k UNION ALL SELECT l.* FROM live l JOIN front f ON l.dst = -f.k)",
     "graph_walk_2hop": lambda d: f"WITH {WALK} SELECT origin, node, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM walk",
     "graph_channel": lambda d: f"WITH {WALK} SELECT origin, node, round(worth, 6) AS worth, CAST(place AS BIGINT) AS place FROM (SELECT origin, node, confidence * power(0.5D, hops - 1) AS worth, row_number() OVER (PARTITION BY origin ORDER BY round(confidence * power(0.5D, hops - 1), 6) DESC, node) AS place FROM walk) WHERE place <= 50".replace("0.5D", "CAST(0.5 AS DOUBLE)"),
     "walk_summary": lambda d: f"WITH {WALK} SELECT origin, CAST(count(*) AS BIGINT) AS reached, CAST(count_if(hops = 1) AS BIGINT) AS near, round(max(confidence), 6) AS best FROM walk GROUP BY origin",
