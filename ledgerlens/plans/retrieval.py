@@ -105,7 +105,7 @@ SELECT coalesce(n.item_id, c.item_id) AS item_id, coalesce(n.doc_id, c.doc_id) A
 n AS (SELECT conv_id, turn, count(*) AS n FROM sh GROUP BY conv_id, turn), met AS (SELECT a.conv_id, a.turn AS x, b.turn AS y, count(*) AS n FROM sh a JOIN sh b ON a.conv_id = b.conv_id AND a.s = b.s AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn)
 SELECT b.conv_id, b.x, b.y, round(CAST(b.n AS DOUBLE) / (p.n + q.n - b.n), 6) AS jaccard FROM met b JOIN n p ON p.conv_id = b.conv_id AND p.turn = b.x JOIN n q ON q.conv_id = b.conv_id AND q.turn = b.y""",
     "gone_sections": lambda d: f"WITH h AS ({d.headings()}), now AS (SELECT title FROM h WHERE page_id % 2 = 0) SELECT DISTINCT h.title FROM h WHERE page_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM now WHERE now.title = h.title)",
-    "rendered_passages": lambda d: f"SELECT doc_id, lang || ': ' || substr(text, 1, 60) AS passage, {d.octets('text')} AS bytes, {d.sha('text')} AS content_hash FROM documents",
+    "rendered_passages": lambda d: f"SELECT doc_id, lang || ': ' || text AS passage, {d.octets('text')} AS bytes, {d.sha('text')} AS content_hash FROM documents",
     "ndcg10": lambda d: f"""WITH {fused(d)}, {qrels(d)}, judged AS (SELECT item_id, count(*) AS relevant FROM qrels GROUP BY item_id),
 gained AS (SELECT f.item_id, sum(1 / log2(f.place + 1)) AS dcg FROM fused f JOIN qrels r ON r.item_id = f.item_id AND r.doc_id = f.doc_id WHERE f.place <= 10 GROUP BY f.item_id),
 steps AS (SELECT item_id, {d.series('least(relevant, 10) - 1')} AS i FROM judged), ideal AS (SELECT item_id, sum(1 / log2(i + 2)) AS best FROM steps GROUP BY item_id)

@@ -73,3 +73,9 @@ def test_best_span_counts_every_word(spark, texts):
                 best = min(votes, key=lambda s: (-votes[s], s))
                 want[item, doc] = (best, votes[best])
     assert {(r.item_id, r.doc_id): (r.span, r.votes) for r in registry.QUERIES["best_span_collapse"](spark, DATA).collect()} == want
+
+
+def test_passages_hold_the_whole_text(spark, texts):
+    langs = column("documents", "doc_id", "lang")
+    got = {r.doc_id: r.passage for r in registry.QUERIES["rendered_passages"](spark, DATA).collect()}
+    assert got == {i: f"{langs[i]}: {t}" for i, t in texts[0].items()}
