@@ -26,8 +26,15 @@ SELECT event_type, CAST(p AS BIGINT) AS p, round(max(CASE WHEN i = j THEN value
     "stratified_sample": lambda d: f"""WITH ordered AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {d.sha("'7' || CAST(doc_id AS STRING)")}) AS place, count(*) OVER (PARTITION BY lang) AS stratum, count(*) OVER () AS total FROM documents)
 SELECT doc_id, lang FROM ordered WHERE place <= greatest(1, CAST(floor(CAST(200 AS DOUBLE) * stratum / total) AS BIGINT))""".replace("count(*) OVER ()", "(SELECT count(*) FROM documents)"),
     "hash_folds": lambda d: "SELECT fold, CAST(count(*) AS BIGINT) AS members, round(avg(c_acctbal), 4) AS mean FROM (SELECT c_acctbal, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) % 5 AS BIGINT) AS fold FROM customer) f GROUP BY fold",
-    "paired_differences": lambda d: """WITH arms AS (SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END) AS b FROM orders GROUP BY o_custkey)
-SELECT CAST(count_if(a - b > 1e-9) AS BIGINT) AS wins, CAST(count_if(b - a > 1e-9) AS BIGINT) AS losses, CAST(count(*) AS BIGINT) AS units FROM arms WHERE a IS NOT NULL AND b IS NOT NULL""",
+    # sign-flip randomisation, two-sided: 10,000 draws, whose signs are the bits of seeded hashes of the unit, four to a hex digit
+    "paired_differences": lambda d: f"""WITH arms AS (SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END) AS b FROM orders GROUP BY o_custkey),
+pairs AS (SELECT o_custkey, a - b AS diff FROM arms WHERE a IS NOT NULL AND b IS NOT NULL),
+seen AS (SELECT count_if(diff > 1e-9) AS wins, count_if(diff < -1e-9) AS losses, count(*) AS units, sum(diff) AS total FROM pairs),
+blocks AS (SELECT diff, block, {d.sha("'7:' || CAST(o_custkey AS STRING) || ':' || CAST(block AS STRING)")} AS bits FROM (SELECT o_custkey, diff, {d.series('39')} AS block FROM pairs) x),
+digits AS (SELECT diff, block * 64 + k AS spot, instr('0123456789abcdef', substr(bits, CAST(k + 1 AS INTEGER), 1)) - 1 AS v FROM (SELECT diff, block, bits, {d.series('63')} AS k FROM blocks) x),
+flips AS (SELECT spot, {', '.join(f'sum(CASE WHEN (v & {1 << j}) = 0 THEN diff ELSE -diff END) AS s{j}' for j in range(4))} FROM digits WHERE spot < 2500 GROUP BY spot),
+far AS (SELECT {' + '.join(f'count_if(round(abs(s{j}), 4) >= round(abs(total), 4))' for j in range(4))} AS extreme FROM flips, seen)
+SELECT CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(units - wins - losses AS BIGINT) AS ties, CAST(units AS BIGINT) AS units, round(total / units, 4) AS mean, CASE WHEN units = 0 THEN CAST(1 AS DOUBLE) ELSE round(CAST(extreme + 1 AS DOUBLE) / 10001, 6) END AS p FROM seen, far""",
     "evidence_ids": lambda d: f"SELECT conv_id, turn, {d.digits('text')} AS first_number, 'D' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS topic FROM conversations",
     "session_rollup": lambda d: "SELECT conv_id, CAST(min(turn) AS BIGINT) AS best_turn, CAST(count(*) AS BIGINT) AS turns, CAST(count_if(role = 'user') AS BIGINT) AS asked FROM conversations GROUP BY conv_id",
 }
