@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import zstandard
@@ -23,11 +22,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Uses the shared folder that the session names; sets one of its own only where none is named."""
+    """Uses the shared folder that the session names in spark.checkpoint.dir; where it names none, one under the warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -35,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by their places, and those names by the old ones: so no input column can clash with one that an operator makes."""
+    own = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
