@@ -10,7 +10,8 @@ Windows are found inside each row: their hashes are compared as a set first, and
 The table of ratios has `buckets` rows whatever the corpus; counts are summed before the shuffle.
 
 Defined cases: null text has no words; a text without words has ratio 0 and fails the base rules; a null id is like any
-other; repeated rows are judged alike; an empty corpus keeps a uniform table; other columns pass through judged().
+other; repeated rows are judged alike; an empty corpus keeps a uniform table; other columns pass through, except that an input
+column of an output's name gives way to it in judged(); ties of the ratio with the threshold are kept.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import positional
+
 BUCKETS = 1 << 14
 MOST_TARGET = 20_000
 THRESHOLD = -0.12
@@ -75,14 +78,31 @@ def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str, text: str, buck
     return [math.log((count.get(b, (0, 0))[1] + 1) / good) - math.log((count.get(b, (0, 0))[0] + 1) / raw) for b in range(buckets)]
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, most_target: int = MOST_TARGET, prefix: str = "") -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, ratio and kept (names begin with prefix)."""
-    table = ratio_table(docs, labels, id_col, text, buckets, most_target)
+def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text: str, threshold: float, buckets: int, most_target: int) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns named by their places, and __o_ columns of the operator's own."""
+    base, own = positional(docs)
+    table = ratio_table(base, labels, own[id_col], own[text], buckets, most_target)
     # one folded literal, read by place
     ratios = F.split(F.lit(",".join(f"{x:.9f}" for x in table)), ",").cast("array<double>")
-    out = with_base(docs, text, "__")
-    out = out.withColumn("__grams", grams_of(F.col("__words"), buckets)).withColumn("__n_grams", F.size("__grams").cast("long"))
-    total = F.aggregate(F.col("__grams"), F.lit(0.0), lambda s, b: s + F.get(ratios, b))
-    out = out.withColumn("__ratio", F.coalesce(total / F.nullif(F.col("__n_grams"), F.lit(0)), F.lit(0.0)))
-    out = out.withColumn("__kept", ~F.col("__base_failed") & (F.col("__ratio") >= threshold))
-    return out.select(*(F.col(c) for c in docs.columns), *(F.col(f"__{c}").alias(prefix + c) for c in OWN))
+    out = with_base(base, own[text], "__q_")
+    out = out.withColumn("__q_grams", grams_of(F.col("__q_words"), buckets)).withColumn("__q_n_grams", F.size("__q_grams").cast("long"))
+    total = F.aggregate(F.col("__q_grams"), F.lit(0.0), lambda s, b: s + F.get(ratios, b))
+    out = out.withColumn("__q_ratio", F.coalesce(total / F.nullif(F.col("__q_n_grams"), F.lit(0)), F.lit(0.0)))
+    out = out.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_ratio") >= threshold))
+    # a generator of one row: a filter on the verdict can't be pushed below it, where the optimizer would put whole
+    # arrays in place of their names inside lambdas and compute them anew for each element
+    said = F.struct(*(F.col(f"__q_{c}").alias(f"__o_{c}") for c in OWN))
+    return out.select(*own.values(), F.inline(F.array(said))), own
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, most_target: int = MOST_TARGET, prefix: str = "") -> DataFrame:
+    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, ratio and kept (names begin with prefix)."""
+    out, own = _verdicts(docs, labels, id_col, text, threshold, buckets, most_target)
+    new = {prefix + c for c in OWN}
+    return out.select(*(F.col(o).alias(c) for c, o in own.items() if c not in new), *(F.col(f"__o_{c}").alias(prefix + c) for c in OWN))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, most_target: int = MOST_TARGET) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    out, own = _verdicts(docs, labels, id_col, text, threshold, buckets, most_target)
+    return out.where("__o_kept").select(*(F.col(o).alias(c) for c, o in own.items()))

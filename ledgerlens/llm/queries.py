@@ -23,7 +23,7 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *OWN)
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", *OWN)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
