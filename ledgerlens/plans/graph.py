@@ -13,13 +13,21 @@ edge_versions AS (SELECT src, dst, created_at, confidence, row_number() OVER (PA
 live AS (SELECT src, dst, confidence FROM edge_versions WHERE invalidated_at IS NULL),
 ends AS (SELECT src AS a, dst AS b, confidence FROM live UNION ALL SELECT dst AS a, src AS b, confidence FROM live)"""
 
-#: Two hops from every part: the first hop to arrive wins, then the higher confidence; never back to the origin.
-WALK = f"""{VERSIONS},
-seeds AS (SELECT p_partkey AS origin FROM part),
-hop1 AS (SELECT origin, b AS node, max(confidence) AS confidence FROM seeds JOIN ends ON a = origin WHERE b <> origin GROUP BY origin, b),
-hop2 AS (SELECT h.origin, e.b AS node, max(least(h.confidence, e.confidence)) AS confidence FROM hop1 h JOIN ends e ON e.a = h.node WHERE e.b <> h.origin GROUP BY h.origin, e.b),
-walk AS (SELECT origin, node, 1 AS hops, confidence FROM hop1 UNION ALL
-         SELECT origin, node, 2 AS hops, confidence FROM hop2 WHERE NOT EXISTS (SELECT 1 FROM hop1 WHERE hop1.origin = hop2.origin AND hop1.node = hop2.node))"""
+def hops(depth: int) -> str:
+    """CTEs hop1.. and walk: from every part whose key is divisible by 50. A node is met once, by the first step of the frontier that crosses to it."""
+    out = f"""{VERSIONS},
+hop1 AS (SELECT p_partkey AS origin, p_partkey AS via, b AS node, confidence, row_number() OVER (PARTITION BY p_partkey ORDER BY confidence DESC, b) AS line FROM part JOIN ends ON a = p_partkey WHERE p_partkey % 50 = 0),
+walk1 AS (SELECT origin, via, node, 1 AS hops, confidence FROM hop1)"""
+    for h in range(2, depth + 1):
+        out += f""",
+met{h} AS (SELECT f.origin, f.node AS via, e.b AS node, e.confidence, row_number() OVER (PARTITION BY f.origin, e.b ORDER BY f.line, e.confidence DESC) AS n, f.line AS pos
+          FROM hop{h - 1} f JOIN ends e ON e.a = f.node WHERE f.line <= 2000 AND e.b <> f.origin AND e.b <> f.via AND NOT EXISTS (SELECT 1 FROM walk{h - 1} w WHERE w.origin = f.origin AND w.node = e.b)),
+hop{h} AS (SELECT origin, via, node, confidence, row_number() OVER (PARTITION BY origin ORDER BY confidence DESC, pos, node) AS line FROM met{h} WHERE n = 1),
+walk{h} AS (SELECT * FROM walk{h - 1} UNION ALL SELECT origin, via, node, {h} AS hops, confidence FROM hop{h})"""
+    return f"{out}, walk AS (SELECT * FROM walk{depth})"
+
+
+WALK = hops(2)
 
 NAMES = lambda d: f"""
 words AS ({d.tokens('documents', 'doc_id', 'text')}),
@@ -37,7 +45,8 @@ SELECT src, dst, CAST(version AS BIGINT) AS version, confidence FROM marked, mom
     "edge_assert": lambda d: f"WITH {VERSIONS} SELECT src, dst, CAST(count(*) AS BIGINT) AS claims, CAST(count_if(before IS DISTINCT FROM confidence) AS BIGINT) AS appended FROM told GROUP BY src, dst",
     "lateral_topk_edges": lambda d: f"WITH {VERSIONS} SELECT a, b, confidence, CAST(n AS BIGINT) AS place FROM (SELECT a, b, confidence, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, b) AS n FROM ends) WHERE n <= 5",
     "endpoint_union_join": lambda d: f"WITH {VERSIONS}, front AS (SELECT s_suppkey AS k FROM supplier) SELECT DISTINCT src, dst, confidence FROM (SELECT l.* FROM live l JOIN front f ON l.src = f.k UNION ALL SELECT l.* FROM live l JOIN front f ON l.dst = -f.k)",
-    "graph_walk_2hop": lambda d: f"WITH {WALK} SELECT origin, node, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM walk",
+    "graph_walk_2hop": lambda d: f"WITH {WALK} SELECT origin, node, via, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM walk",
+    "graph_walk_4hop": lambda d: f"WITH {hops(4)} SELECT origin, node, via, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM walk",
     "graph_channel": lambda d: f"WITH {WALK} SELECT origin, node, round(worth, 6) AS worth, CAST(place AS BIGINT) AS place FROM (SELECT origin, node, confidence * power(0.5D, hops - 1) AS worth, row_number() OVER (PARTITION BY origin ORDER BY round(confidence * power(0.5D, hops - 1), 6) DESC, node) AS place FROM walk) WHERE place <= 50".replace("0.5D", "CAST(0.5 AS DOUBLE)"),
     "walk_summary": lambda d: f"WITH {WALK} SELECT origin, CAST(count(*) AS BIGINT) AS reached, CAST(count_if(hops = 1) AS BIGINT) AS near, round(max(confidence), 6) AS best FROM walk GROUP BY origin",
     "name_runs_join": lambda d: f"WITH {NAMES(d)} SELECT r.doc_id AS src, n.topic AS dst, CAST(count(*) AS BIGINT) AS mentions FROM runs r JOIN names n ON r.run = n.name WHERE r.doc_id <> n.topic GROUP BY r.doc_id, n.topic",
@@ -49,6 +58,6 @@ SELECT DISTINCT a.item_id, n.topic FROM asked_runs a JOIN pair_names n ON a.run
 pairs AS (SELECT x.p AS a, y.p AS b, x.o AS o FROM bought x JOIN bought y ON x.o = y.o AND x.p < y.p)
 SELECT a, b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / (sa.n + sb.n)), 6) AS weight FROM pairs JOIN spread sa ON sa.p = a JOIN spread sb ON sb.p = b GROUP BY a, b""".replace("1.0 /", "CAST(1 AS DOUBLE) /"),
     "part_of_parent": lambda d: f"WITH h AS ({d.headings()}) SELECT page_id, CAST(pos AS BIGINT) AS pos, title, first_value(title) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS parent FROM h",
-    "hub_sharing": lambda d: f"WITH {WALK} SELECT node AS via, CAST(count(*) AS BIGINT) AS finds, round(max(confidence) / sqrt(count(*)), 6) AS share FROM walk GROUP BY node",
+    "hub_sharing": lambda d: f"WITH {WALK} SELECT origin, via, node, round(round(confidence * power(CAST(0.5 AS DOUBLE), hops - 1), 6) / sqrt(count(*) OVER (PARTITION BY origin, via)), 6) AS share FROM walk",
     "alias_lookup": lambda d: "SELECT s_suppkey AS topic, s_name AS name, CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_name = s.s_name) THEN 'shadowed' ELSE 'alias' END AS kind FROM supplier s",
 }
