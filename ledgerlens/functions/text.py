@@ -196,8 +196,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
     def shingles(text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-        three = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda k: F.array_join(F.slice(words, k, 3), " "))
-        return F.array_distinct(three)
+        # bound once: an expression inside a lambda would be computed anew for each element
+        three = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 3), " ")))
+        return F.array_distinct(three[0])
 
-    x, y = shingles(a), shingles(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    both = F.array(F.struct(shingles(a).alias("x"), shingles(b).alias("y")))
+    return F.transform(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"])))[0]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialects import Duck, Spark
-from .plans import evaluation, graph, ledger, retrieval, search
+from .plans import evaluation, graph, ledger, measures, retrieval, search
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLANS = ledger.QUERIES | graph.QUERIES | retrieval.QUERIES | evaluation.QUERIES
@@ -31,5 +31,5 @@ def query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 #: What operators express is their own; only the SQL that it is held against comes from plans.
-QUERIES = {name: query(plan) for name, plan in PLANS.items()} | search.QUERIES
-ORACLES = {name: plan(Duck()) for name, plan in PLANS.items()}
+QUERIES = {name: query(plan) for name, plan in PLANS.items()} | search.QUERIES | measures.QUERIES
+ORACLES = {name: plan(Duck()) for name, plan in PLANS.items()} | measures.ORACLES
