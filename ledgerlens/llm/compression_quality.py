@@ -1,15 +1,19 @@
 """A quality classifier by compression with dictionaries of good and bad text.
 
-Two zstandard dictionaries are built from labelled texts. A text is compressed in blocks of `BLOCK` bytes, all of it, with each
-dictionary and with none; the differences of compressed sizes, divided by its bytes, go through a logistic
-calibration. Blocks keep a long text from explaining itself, so that the dictionaries go on telling the classes apart.
+Two zstandard dictionaries are trained on labelled texts of either class. A text is compressed in blocks of `BLOCK` bytes, all
+of it, with each; the difference of the compressed sizes, normalised by the text's bytes and by the larger size, goes through a
+logistic calibration. Blocks keep a long text from explaining itself, so that the dictionaries go on telling the classes apart.
 
-Fitting reads at most `per_class` labelled rows of each class, in order of a hash of the id, and at most SAMPLE_BYTES of
-each: half feed the dictionaries, half the calibration. Scoring reads every byte of every text.
+Fitting reads at most `per_class` labelled rows of each class, in order of a hash of the id (the documented bound on what
+reaches the driver). A hash of the id deals them into two halves. The first feeds the dictionaries, with
+`pieces` pieces of `piece_bytes` bytes spread evenly over each text (texts up to that size whole), all of which the trainer weighs; the
+second feeds the calibration, with the sizes of whole texts, which executors compute. Scoring reads every byte of every text.
 
 Labels are learnt only from rows that aren't held out (crc32 of the id as text modulo 4 is 2). Defined cases: null and
-empty texts have size differences of nought and get the calibration's score for them; a null id isn't held out; repeated labels
-count once, a doc_id with both labels is bad; with a class missing, the score is the share of good labels.
+empty texts have differences of nought and get the calibration's score for them; a null id isn't held out; repeated labels
+count once, a doc_id with both labels is bad; of repeated rows of a labelled id each distinct text counts once; with a class
+missing, or too little text for two dictionaries, the score is the share of good labels; extra columns are ignored, whatever their
+names; a score equal to the limit is predicted 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 PER_CLASS = 2000
-SAMPLE_BYTES = 8192
+PIECES, PIECE_BYTES = 4, 1024
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
 LIMIT = 0.7
@@ -39,12 +43,12 @@ class Model:
     prior: float
 
     def compressors(self):
-        def made(raw: bytes):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        def made(content: bytes):
+            d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False).compress
 
-        return made(self.good), made(self.bad), zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
+        return made(self.good), made(self.bad)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -52,20 +56,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(expanded(x) @ self.weights, -30, 30)))
 
 
-def features(text: bytes, compressors) -> tuple[float, float, float]:
-    """Sizes by the good dictionary, the bad one, and none, each a share of the text's bytes."""
+def features(text: bytes, compressors) -> tuple[float, float]:
+    """The difference of the sizes by the bad and the good dictionary, over the text's bytes and over the larger size."""
     if not text:
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0
     blocks = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
-    return tuple(sum(len(c(b)) for b in blocks) / len(text) for c in compressors)
+    good, bad = (sum(len(c(b)) for b in blocks) for c in compressors)
+    return (bad - good) / len(text), (bad - good) / max(good, bad)
 
 
 def expanded(x: np.ndarray) -> np.ndarray:
-    """The difference normalised twice: by bytes, and by the size without a dictionary; their squares; the sizes."""
-    good, bad, none = (np.minimum(x[:, k], 2.0) for k in range(3))
-    d = bad - good
-    r = d / np.maximum(none, 0.02)
-    return np.column_stack([np.ones(len(x)), 10 * d, 5 * r, 100 * d * d, 10 * r * r, good, none, none * none, 10 * d * none])
+    return np.column_stack([np.ones(len(x)), 10 * x[:, 0], 10 * x[:, 1]])
+
+
+def spread(text: bytes, pieces: int, size: int) -> list[bytes]:
+    """A short text whole, of a longer one as many pieces at even distances from its first byte to its last."""
+    if len(text) <= pieces * size:
+        return [text[k : k + size] for k in range(0, len(text), size)]
+    return [text[k : k + size] for k in np.linspace(0, len(text) - size, pieces).astype(int).tolist()]
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -87,33 +95,55 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__y"))
-    order = [F.xxhash64("__id"), "__id"]
-    ids = known.where("__y = 0").orderBy(*order).limit(per_class).union(known.where("__y > 0").orderBy(*order).limit(per_class))
-    # at most 2 * per_class rows and SAMPLE_BYTES of each reach the driver
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).select("__id", "__y", F.substring(text, 1, SAMPLE_BYTES).alias("t")).collect()
-    rows = sorted({r["__id"]: (bytes(r["t"]), int(r["__y"] > 0)) for r in rows}.items())
-    prior = (sum(y for _, (_, y) in rows) + 1) / (len(rows) + 2)
-    half = lambda i: zlib.crc32(b"half" + str(i).encode()) & 1
-    if len({y for i, (_, y) in rows if half(i)}) < 2 or len({y for i, (_, y) in rows if not half(i)}) < 2:
-        return Model(b"", b"", np.empty(0), prior)
-
-    def dictionary(y: int) -> bytes:
-        """Pieces from as many texts as there are, since a dictionary's tail is its best place."""
-        texts = [t for i, (t, z) in rows if z == y and not half(i) and t]
-        share = max(128, DICTIONARY_BYTES // max(1, len(texts)))
-        out = []
-        for i, t in enumerate(texts):
-            at = (i * 7919) % max(1, len(t) - share)
-            out.append(t[at : at + share])
-        return b"".join(out)[-DICTIONARY_BYTES:].ljust(16, b" ")
-
-    model = Model(dictionary(1), dictionary(0), np.empty(0), prior)
-    own = model.compressors()
-    calibration = [(features(t, own), y) for i, (t, y) in rows if half(i)]
-    model.weights = fitted(np.array([x for x, _ in calibration]), np.array([y for _, y in calibration], float))
+def in_first_half(doc_id) -> bool:
+    return zlib.crc32(f"half{doc_id}".encode()) & 1 == 0
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of all samples; empty if they are too few to train one."""
+    samples = [s for s in samples if len(s) >= 8]
+    if len(samples) < 8:
+        return b""
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 2)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    known = labels.select(F.col(id_col).alias("__known"), F.col("quality").alias("__q")).where("__known IS NOT NULL AND __q IS NOT NULL")
+    known = known.where(~held_out(F.col("__known"))).groupBy("__known").agg((F.min("__q") > 0).alias("__y"))
+    order = [F.xxhash64("__known"), "__known"]
+    ids = known.where("NOT __y").orderBy(*order).limit(per_class).union(known.where("__y").orderBy(*order).limit(per_class))
+    # at most 2 * per_class rows; distinct texts, so that repeated rows of an id count once
+    rows = named.join(F.broadcast(ids), F.col("__id") == F.col("__known")).select("__id", "__y", "__text").distinct()
+
+    def cut(batches):
+        for batch in batches:
+            out = [(i, y, p) for i, y, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if in_first_half(i) for p in spread((t or "").encode(), pieces, piece_bytes)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in out], batch.schema.field(0).type), pa.array([y for _, y, _ in out], pa.bool_()), pa.array([p for _, _, p in out], pa.binary())], ["i", "y", "p"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    samples = sorted((r["i"], bytes(r["p"]), r["y"]) for r in rows.mapInArrow(cut, f"i {kind}, y boolean, p binary").collect())
+    shares = {r["__y"]: r["count"] for r in ids.groupBy("__y").count().collect()}
+    prior = (shares.get(True, 0) + 1) / (sum(shares.values()) + 2)
+    nothing = Model(b"", b"", np.empty(0), prior)
+    model = Model(*(trained([p for _, p, y in samples if y == z], dictionary_bytes) for z in (True, False)), np.empty(0), prior)
+    if not model.good or not model.bad:
+        return nothing
+
+    def measure(batches):
+        own = model.compressors()
+        for batch in batches:
+            out = [(i, y, *features((t or "").encode(), own)) for i, y, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if not in_first_half(i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((batch.schema.field(0).type, pa.bool_(), pa.float64(), pa.float64()))], ["i", "y", "d", "r"])
+
+    measured = sorted((r["i"], r["d"], r["r"], r["y"]) for r in rows.mapInArrow(measure, f"i {kind}, y boolean, d double, r double").collect())
+    y = np.array([r[3] for r in measured], float)
+    if len(set(y.tolist())) < 2:
+        return nothing
+    model.weights = fitted(np.array([r[1:3] for r in measured]), y)
     return model
 
 
@@ -125,7 +155,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = model.compressors() if len(model.weights) else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            x = np.array([features((t or "").encode(), own) if own else (0.0, 0.0, 0.0) for t in texts]).reshape(len(texts), 3)
+            x = np.array([features((t or "").encode(), own) if own else (0.0, 0.0) for t in texts]).reshape(len(texts), 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
