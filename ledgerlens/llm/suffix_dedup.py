@@ -11,11 +11,13 @@ digits are exactly the repeated windows. The digits of a suffix are
 
 Documents are dealt into batches of a few megabytes by their id. In each pass a batch posts what it holds once, with
 its smallest document, to the bucket of the digit's leading bits; a bucket answers in the order posted. So a passage
-that stands in a third of all documents is a row for each batch, not for each copy, and nothing is broadcast. Hashes
-have 64 bits; digit 1 is cut to 48, which can only make later passes look at more.
+that stands in a third of all documents is a row for each batch, not for each copy, and nothing is broadcast. Digits 2
+and 3, which decide, are 128 bits of two independent hashes, so that unequal windows don't meet in a corpus of any size;
+digit 1 is cut to 48 bits, which can only make later passes look at more.
 
 Defined cases: null text is empty; texts under `threshold` bytes stay; a null id stands after all others; rows of
-equal id don't cover each other; input columns, whatever their names, are kept when `keep_text` asks for documents.
+equal id don't cover each other, so repeated rows all stay; input columns, whatever their names, are kept when `keep_text` asks
+for documents, but give way to a result of the same name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import byte_windows as bw
-from .common import LAST_ID, batches, packed, packed_sorted, partitions, starts_of, text_buffers, text_bytes, unpacked, unpacked_sorted
+from .common import LAST_ID, batches, packed, packed_sorted, partitions, positional, starts_of, text_buffers, text_bytes, unpacked, unpacked_sorted
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 DIGIT_SHIFT = np.uint64(16)
 POSTS = "__bucket long, __batch long, __kind int, a binary, b binary, c binary"
 ANSWERS = "__batch long, __bucket long, __kind int, a binary"
@@ -97,15 +99,21 @@ class Batch:
         for k in ("start", "length", "row", "doc", "digit"):
             setattr(self, k, getattr(self, k)[keep])
         ends = self.start + self.length - 1
-        span = bw.window_hashes(self.halves, self.start, self.t) * np.uint64(0x9FB21C651E98DF25) + bw.window_hashes(self.halves, ends, self.t)
-        self.span = bw.mixed(span + self.length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        other = bw.half_hashes(self.data, self.t, 1)
+        self.halves = (self.halves, other)
+        self.span = np.stack([self.span_hashes(k, ends) for k in (0, 1)], axis=1) if len(ends) else np.empty((0, 2), np.uint64)
         # a run of up to `half + 1` windows is no longer than two windows: their hashes are those of all its bytes
 
+    def span_hashes(self, family: int, ends: np.ndarray) -> np.ndarray:
+        halves = self.halves[family]
+        span = bw.window_hashes(halves, self.start, self.t) * np.uint64(0x9FB21C651E98DF25) + bw.window_hashes(halves, ends, self.t)
+        return bw.mixed(span + self.length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
     # Pass 2: which runs are equal through their last byte, and where runs part.
     def second(self):
-        order = np.lexsort((self.doc, self.span, self.digit))
+        order = np.lexsort((self.doc, self.span[:, 1], self.span[:, 0], self.digit))
         digit, span, doc = self.digit[order], self.span[order], self.doc[order]
-        at = starts_of(digit, span)
+        at = starts_of(digit, span[:, 0], span[:, 1])
         return order, at, digit[at], span[at], doc[at]
 
     def post_second(self):
@@ -130,23 +138,23 @@ class Batch:
         start, length = self.start[take], self.length[take]
         first = np.cumsum(length) - length
         at = np.repeat(start - first, length) + np.arange(length.sum())
-        return at, bw.window_hashes(self.halves, at, self.t), np.repeat(self.doc[take], length)
+        return at, *(bw.window_hashes(h, at, self.t) for h in self.halves), np.repeat(self.doc[take], length)
 
     def posted_third(self):
-        at, value, doc = self.third()
-        order = np.lexsort((doc, value))
-        value, doc = value[order], doc[order]
-        new = starts_of(value)
-        return at, order, new, value[new], doc[new], doc
+        at, value, other, doc = self.third()
+        order = np.lexsort((doc, other, value))
+        value, other, doc = value[order], other[order], doc[order]
+        new = starts_of(value, other)
+        return at, order, new, value[new], other[new], doc[new], doc
 
     def post_third(self):
-        _, _, _, value, doc, _ = self.posted_third()
+        _, _, _, value, other, doc, _ = self.posted_third()
         for b, part in self.parts(value, 64):
-            yield b, 3, packed_sorted(value[part]), packed(doc[part]), b""
+            yield b, 3, packed_sorted(value[part]), packed(doc[part]), packed(other[part])
 
     def covered(self, answers: dict) -> np.ndarray:
         """+1 and -1 where covered stretches begin and end."""
-        at, order, new, value, least, doc = self.posted_third()
+        at, order, new, value, _, least, doc = self.posted_third()
         earlier = np.zeros(len(value), bool)
         for b, part in self.parts(value, 64):
             if (3, b) in answers:
@@ -207,19 +215,23 @@ def _answer(posts: pa.Table) -> pa.Table:
         said = np.empty(len(order), np.uint8)
         said[order] = np.repeat((count > 1) | (np.maximum.reduceat(several[order], at) > 0), count)
     elif kind == 2:
-        span, doc = np.concatenate([unpacked(x, np.uint64) for x in b]), np.concatenate([unpacked(x, np.int64) for x in c])
-        order = np.lexsort((doc, span, value))
-        at, digit_at = starts_of(value[order], span[order]), starts_of(value[order])
+        span = np.concatenate([unpacked(x, "V16").view(np.uint64).reshape(-1, 2) for x in b])
+        doc = np.concatenate([unpacked(x, np.int64) for x in c])
+        order = np.lexsort((doc, span[:, 1], span[:, 0], value))
+        s = span[order]
+        at, digit_at = starts_of(value[order], s[:, 0], s[:, 1]), starts_of(value[order])
         count, digit_count = np.diff(np.append(at, len(order))), np.diff(np.append(digit_at, len(order)))
         least = np.repeat(doc[order][at], count)
-        s = span[order]
-        parts = np.repeat(np.minimum.reduceat(s, digit_at) != np.maximum.reduceat(s, digit_at), digit_count)
+        new = np.zeros(len(order), np.int64)
+        new[at] = 1
+        runs = np.add.reduceat(new, digit_at)
+        parts = np.repeat(runs > 1, digit_count)
         said = np.empty(len(order), np.uint8)
         said[order] = np.where(least < doc[order], 2, np.where(parts, 1, 0))
     else:
-        doc = np.concatenate([unpacked(x, np.int64) for x in b])
-        order = np.lexsort((doc, value))
-        at = starts_of(value[order])
+        doc, other = np.concatenate([unpacked(x, np.int64) for x in b]), np.concatenate([unpacked(x, np.uint64) for x in c])
+        order = np.lexsort((doc, other, value))
+        at = starts_of(value[order], other[order])
         said = np.empty(len(order), np.uint8)
         said[order] = np.repeat(doc[order][at], np.diff(np.append(at, len(order)))) < doc[order]
     said = np.split(said, np.cumsum(size)[:-1])
@@ -289,6 +301,13 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = T.StructType(fields)
     schema = to_arrow_schema(out)
     done = with_docs(one.union(two).union(three)).applyInArrow(lambda t, a: _finish(t, a, keep_text=keep_text, schema=schema, **args), out)
-    back = [F.col(c).alias(name) for c, name in zip(own, named.columns, strict=True) if c != own[text_at]]
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    back = [F.col(c).alias(name) for c, name in zip(own, named.columns, strict=True) if c != own[text_at] and name not in new]
     return done.select(*back, *new)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50) -> DataFrame:
+    """The documents with what dedup_windows() leaves of their texts; other columns as they were."""
+    base, own = positional(docs)
+    left = dedup_windows(base, own[id_col], own[text_col], threshold, keep_text=True).withColumnRenamed("kept", own[text_col])
+    return left.select(*(F.col(own[c]).alias(c) for c in docs.columns))
