@@ -5,10 +5,12 @@ apostrophes look one and two characters ahead), a class is a transition function
 automaton, and functions compose associatively. A composition of four is constant on all states that can occur, so
 the prefix scan ends after two doublings: the state before a character follows from the four classes before it, and one
 gather from a table of composed functions finds all boundaries of a batch at once. Slices between boundaries go to a
-cache of merged pairs (lowest rank first, leftmost on ties); offsets of slices are kept, so ids decode by slices too.
+cache of merged pairs (lowest rank first, leftmost on ties). An encoded text keeps where its slices begin, in code points and
+in ids, so that any stretch of it decodes by the slices that cover it, and the whole by all of them.
 
 Defined cases: null and empty texts give no ids; texts of any length are merged in n log n; bytes that a vocabulary
-lacks raise KeyError; rows are independent, so ties and repeated rows are not special.
+lacks raise KeyError; rows are independent, so ties and repeated rows are not special; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import heapq
 import itertools
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +147,14 @@ class Cache(dict):
         return ids
 
 
+class Encoded(NamedTuple):
+    """Ids as little-endian 32-bit integers, and where slices begin: in code points, and in ids (one more, for the end)."""
+
+    ids: bytes
+    starts: np.ndarray
+    edges: np.ndarray
+
+
 class Codec:
     """Encodes and decodes by the ranks in a file of base64 tokens and ranks."""
 
@@ -153,8 +164,7 @@ class Codec:
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.cache = Cache(self.ranks)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        """For each text its ids as bytes, and where its slices begin, in code points."""
+    def encode(self, texts: list[str]) -> list[Encoded]:
         if not texts:
             return []
         # a line feed between texts is a state from which every text begins alike
@@ -166,11 +176,22 @@ class Codec:
         cuts = starts.tolist()
         pieces = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)], strict=True)]
         lo, hi = np.searchsorted(starts, first), np.searchsorted(starts, first + size)
-        get = self.cache.__getitem__
-        return [(b"".join(map(get, pieces[a:b])) if n else b"", starts[a:b] - at) for a, b, at, n in zip(lo.tolist(), hi.tolist(), first.tolist(), size.tolist(), strict=True)]
+        ids = list(map(self.cache.__getitem__, pieces))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        edges = np.concatenate([[0], np.cumsum(count)])
+        return [Encoded(b"".join(ids[a:b]) if n else b"", starts[a : b if n else a] - at, edges[a : (b if n else a) + 1] - edges[a]) for a, b, at, n in zip(lo.tolist(), hi.tolist(), first.tolist(), size.tolist(), strict=True)]
+
+    def decode(self, text: Encoded, first: int = 0, last: int | None = None) -> bytes:
+        """The bytes of the slices from number `first` up to `last`."""
+        ids = np.frombuffer(text.ids, np.uint32)[text.edges[first] : text.edges[-1 if last is None else last]]
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
+    def decode_span(self, text: Encoded, begin: int, end: int) -> tuple[int, bytes]:
+        """The slices that cover the code points from begin to end: the code point at which they begin, and their bytes."""
+        if begin >= end or not len(text.starts):
+            return begin, b""
+        a = max(0, int(np.searchsorted(text.starts, begin, "right")) - 1)
+        return int(text.starts[a]), self.decode(text, a, int(np.searchsorted(text.starts, end)))
 
 
 @functools.cache
@@ -199,10 +220,10 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in batches:
             n, a, b = [], [], []
             for texts in in_batches(batch.column(1)):
-                for ids, _ in own.encode(texts):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                for text in own.encode(texts):
+                    n.append(int(text.edges[-1]))
+                    a.append(hashlib.sha256(text.ids).hexdigest())
+                    b.append(hashlib.sha256(own.decode(text)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
