@@ -1,16 +1,18 @@
 """Homomorphic multiset fingerprints of documents, with DataFrame functions only.
 
-A document is a multiset of paragraphs (its lines). A paragraph becomes a wide vector: four 32-bit lanes hashed from the
-whole paragraph, and 64 lanes that each add one bit of the hash of each of its two-word shingles. A document's vector
+A document is a multiset of paragraphs (its lines). A paragraph becomes a wide vector: four 32-bit lanes (128 bits, on which
+equality rests) hashed from the whole paragraph, and 64 lanes that each add one bit of the hash of each of its two-word shingles. A document's vector
 is the sum of its paragraphs', lanes taken modulo 2^32 and 2^16, so the order of paragraphs doesn't matter and a
 paragraph is inserted or deleted by adding or subtracting its vector (`combined`). Texts of equal multisets have equal
 fingerprints; likeness is the correlation of the 64 lanes, cut to 0..1, and 1 for equal fingerprints.
 
 The next document comes from a window over ranges of ids, with texts shuffled once; the grouping that sums lanes has
-that same distribution, so it adds no shuffle. The last row of a range gets its neighbour from a table of one row a range.
+that same distribution, so it adds no shuffle. Ranges grow as the 3/4 power of the rows, so that their cuts fit a plan; an id that
+many rows share is cut again by a hash of the text. A range's last row gets its neighbour from a table of one row a range.
 
 Defined cases: null text is empty; an empty text has no shingles; a null id stands after all others; rows of equal
-id are neighbours in order of their texts; a single document is its own next one; an empty table gives no rows.
+id are neighbours in order of a hash of their texts; a single document is its own next one; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, partitions
+from .common import LAST_ID, checkpoint, partitions
 
 LANES = 64
 SUMS = LANES // 2
-PAIR = 1 | 1 << 31
+PAIR = 1 | 1 << SUMS
 RANGE_ROWS = 2000
-MOST_RANGES = 10_000
 
 
 def exact_lanes(text: Column) -> list[Column]:
@@ -67,38 +68,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.greatest(r, F.lit(0.0)), F.lit(1.0)))
 
 
-def with_range(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
-    """Adds __range, in the order of __id, of about equal rows: two levels of cuts, so a row compares with few."""
+def with_range(docs: DataFrame, ranges: int) -> DataFrame:
+    """Adds __range, in the order of (__id, __h), of about equal rows: two levels of cuts, so a row compares with few.
+
+    An id that makes up several cuts has the ranges between them, dealt by __h.
+    """
     wide = max(1, math.isqrt(ranges))
-    cuts = docs.agg(F.percentile_approx("__id", [k / (wide * wide) for k in range(1, wide * wide)] or [1.0], 20 * wide * wide)).first()[0] or []
-    cuts = sorted(set(cuts)) if wide > 1 else []
+    if wide == 1:
+        return docs.withColumn("__range", F.lit(0))
+    cuts = sorted(docs.agg(F.percentile_approx("__id", [k / (wide * wide) for k in range(1, wide * wide)], 4 * wide * wide)).first()[0] or [])
     blocks = [cuts[k : k + wide] for k in range(0, len(cuts), wide)] or [[]]
     spelled_out = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
     heads = spelled_out([b[0] for b in blocks if b])
     inner = F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";")
-    below = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("__id")))
-    block = docs.withColumn("__block", below(heads))
-    fine = F.when(F.col("__block") == 0, 0).otherwise(below(F.split(F.get(inner, F.col("__block") - 1), ",").cast("array<bigint>")))
-    return block.withColumn("__range", (F.col("__block") * (wide + 1) + fine).cast("int")).drop("__block"), wide * (wide + 1)
 
+    def count(below):
+        """How many cuts stand below the id."""
+        block = F.size(F.filter(heads, below))
+        return F.when(block == 0, 0).otherwise((block - 1) * wide + F.size(F.filter(F.split(F.get(inner, block - 1), ",").cast("array<bigint>"), below)))
+
+    less, most = count(lambda c: c < F.col("__id")), count(lambda c: c <= F.col("__id"))
+    out = docs.withColumn("__less", less).withColumn("__most", most)
+    share = F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(-(1 << 63))), 32) * (F.col("__most") - F.col("__less") + 1)
+    return out.withColumn("__range", (F.col("__less") + F.shiftright(share, 32)).cast("int")).drop("__less", "__most")
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__h", F.xxhash64("__text"))
     n = docs.count()
-    ranges = min(MOST_RANGES, max(partitions(docs.sparkSession), math.ceil(n / RANGE_ROWS)))
-    rows, _ = with_range(rows, ranges)
-    # ranges: a row each, at most MOST_RANGES and a few
-    heads = rows.groupBy("__range").agg(F.min("__id").alias("__first"))
+    rows = with_range(rows, max(partitions(docs.sparkSession), math.ceil((n / range_rows) ** 0.75)))
+    # ranges: a row each
+    heads = rows.groupBy("__range").agg(F.min(F.struct("__id", "__h")).alias("f"))
+    heads = checkpoint(heads.select("__range", F.col("f.__id").alias("__first"), F.col("f.__h").alias("__first_h")))
     order = Window.orderBy("__range")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(
-        "__range",
-        F.coalesce(F.lead("__first").over(order), F.first("__first").over(everything)).alias("__next_first"),
-        F.coalesce(F.lead("__range").over(order), F.first("__range").over(everything)).alias("__next_range"),
-    )
-    after = rows.select(F.col("__id").alias("__next_first"), F.col("__text").alias("__t")).join(F.broadcast(heads), "__next_first").groupBy("__range").agg(F.min("__t").alias("__after"))
-    own = Window.partitionBy("__range").orderBy("__id", "__text")
+    circled = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(everything))
+    heads = heads.select("__range", circled("__first").alias("__next_first"), circled("__first_h").alias("__next_h"), circled("__range").alias("__next_range"))
+    ahead = rows.select(F.col("__id").alias("__next_first"), F.col("__h").alias("__next_h"), F.col("__text").alias("__t")).join(F.broadcast(heads), ["__next_first", "__next_h"])
+    after = ahead.groupBy("__range").agg(F.min("__t").alias("__after"))
+    own = Window.partitionBy("__range").orderBy("__id", "__h", "__text")
     rows = rows.select("*", F.row_number().over(own).alias("__n"), F.lead("__text").over(own).alias("__lead"))
     rows = rows.join(after, "__range", "left")
     half = F.floor(F.length("__text") / 2).cast("int")
@@ -111,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = ["__range", "__n", "side"]
     exploded = sides.select(*keys, F.explode_outer("hs").alias("h"))
     sums = exploded.groupBy(*keys).agg(*(F.coalesce(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(PAIR))), F.lit(0)).alias(f"s{j}") for j in range(SUMS)))
-    lanes = F.array(*(x for j in range(SUMS) for x in (F.col(f"s{j}").bitwiseAND(F.lit(0xFFFF)), F.shiftright(f"s{j}", 31).bitwiseAND(F.lit(0xFFFF)))))
+    lanes = F.array(*(x for j in range(SUMS) for x in (F.col(f"s{j}").bitwiseAND(F.lit(0xFFFF)), F.shiftright(f"s{j}", SUMS).bitwiseAND(F.lit(0xFFFF)))))
     whole = sides.drop("hs").join(sums.select(*keys, lanes.alias("lanes")), keys)
     whole = whole.select(*keys, "__id", "__chars", "digest", F.concat(F.array(*(f"e{k}" for k in range(4))), "lanes").alias("v"))
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
