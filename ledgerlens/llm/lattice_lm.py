@@ -10,7 +10,8 @@ each with their training counts, to buckets by hash. Buckets add up counts over
 pieces (summed by a tree, a vector of its size at a time, about sqrt(buckets) of which reach the driver) and answer with each word's count and log probability.
 
 Defined cases: null text is empty and scores its end token; a null id is never held out; words of any length are
-scaled, never underflow; repeated rows count as documents each; an empty table gives no rows.
+scaled, never underflow; repeated rows count as documents each; ties don't arise, each row has a score of its own; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpoint, packed, partitions, text_buffers, unpacked
+from .common import LAST_ID, checkpoint, packed, partitions, text_buffers, text_bytes, unpacked
 
 END = b"\n"
 END_PIECE = "\n"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 ROUNDS = 2
 N_ROW, V_ROW = -2, -1
 TINY, SCALE = 1e-120, 1e120
@@ -62,6 +64,7 @@ class Lattice:
                 self.get_map.setdefault(p[:n], 0.0)
             self.get_map[p] = self.p[self.number[p]]
         self.end_log = math.log10(self.p[0])
+        self.longest = max(map(len, words), default=1)
 
     def arcs(self, s: str) -> list[list[tuple[int, float]]]:
         """From each place of s, the ends and weights of the pieces there; single characters always have one."""
@@ -95,7 +98,7 @@ class Lattice:
             if x < TINY:
                 scaled += 1
                 x *= SCALE
-                for k in range(i, min(n, i + 64) + 1):
+                for k in range(i, min(n, i + self.longest) + 1):
                     a[k] *= SCALE
             j = i + 1
             p = get(s[i:j])
@@ -270,7 +273,8 @@ def _score(kept: pa.Table, answers: pa.Table, total: int, words: int, id_col: st
 
 def lattice_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words) and score (the lattice's), in log10."""
-    buckets = 2 * partitions(docs.sparkSession)
+    # a bucket gathers what all batches hold of about so many bytes of text
+    buckets = max(2 * partitions(docs.sparkSession), math.ceil(text_bytes(docs, text_col) / BUCKET_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = checkpoint(rows.mapInArrow(lambda it: _number(it, buckets, batch_bytes), "kind int, batch long, bucket long, a binary, b binary, c binary"))
     posts = read.where("kind = 1").select("batch", "bucket", "a", "b")
