@@ -8,7 +8,8 @@ executors OR together; what reaches the driver is the filters, whose size follow
 
 There is a cascade for allowed and one for blocked rules. The longest rule that fits wins; a key in both lists is
 allowed; a page that no rule fits gets the default. Defined cases: null or no "://": empty host and path; a text of any
-length is matched by as many suffixes as the longest rule has labels; an empty list fits nothing.
+length is matched by as many suffixes as the longest rule has labels; an empty list fits nothing; repeated rows are judged
+alike, rules of equal length that fit one page are one rule; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Cascade:
 def cascade_of(listed: DataFrame, universe: DataFrame) -> Cascade:
     """listed and universe have a column key of distinct keys; the levels alternate until none errs."""
     levels: list[Level] = []
-    sides = [listed, universe.join(F.broadcast(listed), "key", "left_anti")]
+    sides = [listed, universe.join(listed, "key", "left_anti")]
     while len(levels) < LEVELS:
         now = sides[len(levels) % 2]
         # of this side, what every earlier level of the other side's turn lets through
