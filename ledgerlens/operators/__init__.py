@@ -1,0 +1 @@
+"""Operators over DataFrames: ledger, graph, recall, fusion, statistics."""

@@ -1,0 +1 @@
+"""What comes in, and the store that keeps it."""

@@ -1,0 +1 @@
+"""The stream of writes and the work that it owes."""
