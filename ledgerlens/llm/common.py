@@ -9,10 +9,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What operators keep in a worker from task to task: calls that let go of it.
+CACHES: list = []
 #: Null ids stand after all others.
 LAST_ID = 2**63 - 1
 
 
+def free_caches() -> None:
+    """For a task of another operator: a worker that has packed may hold hundreds of thousands of words."""
+    for free in CACHES:
+        free()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,13 +7,16 @@ their ids to a merge over a few partitions each, are laid end to end and cut int
 into powers of two, which need no padding. So no task gathers more than a fixed number of windows.
 
 Defined cases: null text is empty, and an empty document is its end token alone; a text of any length is cut; rows of
-equal id are packed each on its own; an empty table gives no rows.
+equal id are packed each on its own; windows that fit equally well are taken in the order they were opened; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -23,16 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import in_batches
-from .common import checkpoint
+from .common import CACHES, checkpoint
 
 CACHE_ITEMS = 700_000
 MERGED = 16
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Words to a call of the tokenizer.
+TOGETHER = 512
 _ODD = re.compile("[\x1c-\x1f]")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokenizer:
-    """A tokenizer whose pieces never cross whitespace, with a cache of words."""
+    """A tokenizer whose pieces never cross whitespace, with a cache of words.
+
+    New words are encoded many to a call, joined by blanks, and their ids told apart afterwards: by the ends that the
+    vocabulary marks, as far as the number of marked ends in a word is known beforehand, otherwise by offsets.
+    """
 
     def __init__(self, path: str, end: int):
         import os
@@ -42,26 +52,72 @@ class WordTokenizer:
 
         self.own, self.words = Tokenizer.from_file(path), {}
         self.end = np.uint32(end).tobytes()
+        vocabulary = self.own.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch(texts, add_special_tokens=False)]
 
+    def _by_ends(self, words: list[str], ends: list[int]) -> list[bytes]:
+        ids = np.array(self.own.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at, last = np.flatnonzero(self.is_end[ids]), np.cumsum(ends)
+        if len(at) != last[-1] or at[-1] != len(ids) - 1:
+            return self._by_offsets(words)
+        return _cut(ids, [0, *(at[last - 1] + 1).tolist()])
+
+    def _by_offsets(self, words: list[str]) -> list[bytes]:
+        e = self.own.encode_batch([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, np.uint32)
+        begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return _cut(ids, [*np.searchsorted(begins, np.cumsum(size) - size).tolist(), len(ids)])
+
+    def _learn(self, words: list[str]) -> None:
+        known, other, ends = [], [], []
+        for w in words:
+            n = marked_ends(w)
+            if n:
+                known.append(w)
+                ends.append(n)
+            else:
+                other.append(w)
+        for k in range(0, len(known), TOGETHER):
+            self.words.update(zip(known[k : k + TOGETHER], self._by_ends(known[k : k + TOGETHER], ends[k : k + TOGETHER]), strict=True))
+        for k in range(0, len(other), TOGETHER):
+            self.words.update(zip(other[k : k + TOGETHER], self._by_offsets(other[k : k + TOGETHER]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids with the end token, as little-endian 32-bit integers."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        odd = _ODD.search("\n".join(texts)) is not None
+        split = [None if odd and _ODD.search(t) else t.split() for t in texts]
         if len(self.words) > CACHE_ITEMS:
             self.words.clear()
-        new = list(set().union(*(s for s in split if s)) - self.words.keys())
-        self.words.update(zip(new, self._ids(new), strict=True))
+        self._learn(list(set().union(*(s for s in split if s)) - self.words.keys()))
         get = self.words.__getitem__
         return [(self._ids([t])[0] if s is None else b"".join(map(get, s))) + self.end for t, s in zip(texts, split, strict=True)]
 
 
+def _cut(ids: np.ndarray, edges: list[int]) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(edges)]
+
+
+def marked_ends(word: str) -> int:
+    """How many pieces of a word end it or a part of it; 0 where only the tokenizer can tell."""
+    if word.isascii():
+        return 0 if "<|" in word else 1 if word.isalpha() else len(_PARTS.findall(word.lower()))
+    return int(max(word) < "\u0600" and unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 @functools.cache
 def tokenizer(path: str, end: int) -> WordTokenizer:
     return WordTokenizer(path, end)
 
 
+CACHES.append(tokenizer.cache_clear)
+
+
 class Packer:
     """Windows hold pieces (id, start, ids, tokens of the document)."""
 
