@@ -16,7 +16,7 @@ ends AS (SELECT src AS a, dst AS b, confidence FROM live UNION ALL SELECT dst AS
 def hops(depth: int) -> str:
     """CTEs hop1.. and walk: from every part whose key is divisible by 50. A node is met once, by the first step of the frontier that crosses to it."""
     out = f"""{VERSIONS},
-hop1 AS (SELECT p_partkey AS origin, p_partkey AS via, b AS node, confidence, row_number() OVER (PARTITION BY p_partkey ORDER BY confidence DESC, b) AS line FROM part JOIN ends ON a = p_partkey WHERE p_partkey % 50 = 0),
+hop1 AS (SELECT p_partkey AS origin, p_partkey AS via, b AS node, confidence, row_number() OVER (PARTITION BY p_partkey ORDER BY confidence DESC, b) AS line FROM part JOIN (SELECT DISTINCT a, b, confidence FROM ends) e ON a = p_partkey WHERE p_partkey % 50 = 0),
 walk1 AS (SELECT origin, via, node, 1 AS hops, confidence FROM hop1)"""
     for h in range(2, depth + 1):
         out += f""",
