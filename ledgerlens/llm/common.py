@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: What operators keep in a worker from task to task: calls that let go of it.
 CACHES: list = []
+#: Made once for each process: a context costs as much as a small column takes to compress.
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: Null ids stand after all others.
 LAST_ID = 2**63 - 1
 
@@ -52,23 +52,18 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def batches(docs: DataFrame, total: int, size: int) -> int:
-    """How many batches of about `size` bytes the documents make: at least one for each shuffle partition."""
-    return max(partitions(docs.sparkSession), math.ceil(total / size), 1)
-
-
 def packed(values: np.ndarray) -> bytes:
     """Compressed by planes of bytes; made for sorted or small integers."""
     if not len(values):
         return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _PACK.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(blob: bytes, dtype) -> np.ndarray:
     if not blob:
         return np.empty(0, dtype)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = np.frombuffer(_UNPACK.decompress(blob), np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
 

@@ -9,7 +9,7 @@ digits are exactly the repeated windows. The digits of a suffix are
 2. the hash of all the bytes that a run's windows cover, with which whole runs are equal at once;
 3. the hash of the single window, only where runs share digit 1 but not digit 2: the ends of repeated passages.
 
-Documents are dealt into batches of a few megabytes by their id. In each pass a batch posts what it holds once, with
+Documents are dealt into batches of some megabytes by their id, and digits into buckets of about twice as much text. In each pass a batch posts what it holds once, with
 its smallest document, to the bucket of the digit's leading bits; a bucket answers in the order posted. So a passage
 that stands in a third of all documents is a row for each batch, not for each copy, and nothing is broadcast. Digits 2
 and 3, which decide, are 128 bits of two independent hashes, so that unequal windows don't meet in a corpus of any size;
@@ -23,6 +23,8 @@ for documents, but give way to a result of the same name; an empty table gives n
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import byte_windows as bw
-from .common import LAST_ID, batches, packed, packed_sorted, partitions, positional, starts_of, text_buffers, text_bytes, unpacked, unpacked_sorted
+from .common import LAST_ID, packed, packed_sorted, partitions, positional, starts_of, text_buffers, text_bytes, unpacked, unpacked_sorted
 
-BATCH_BYTES = 3 << 20
+#: Rows between batches and buckets are batches times buckets, and each costs a call of the compressor on either side:
+#: so both are as large as a task's memory allows.
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 DIGIT_SHIFT = np.uint64(16)
 POSTS = "__bucket long, __batch long, __kind int, a binary, b binary, c binary"
 ANSWERS = "__batch long, __bucket long, __kind int, a binary"
@@ -152,8 +156,8 @@ class Batch:
         for b, part in self.parts(value, 64):
             yield b, 3, packed_sorted(value[part]), packed(doc[part]), packed(other[part])
 
-    def covered(self, answers: dict) -> np.ndarray:
-        """+1 and -1 where covered stretches begin and end."""
+    def covered(self, answers: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Where covered stretches begin and end; none goes over the end of a document."""
         at, order, new, value, _, least, doc = self.posted_third()
         earlier = np.zeros(len(value), bool)
         for b, part in self.parts(value, 64):
@@ -162,12 +166,16 @@ class Batch:
         size = np.diff(np.append(new, len(order)))
         single = at[order][np.repeat(earlier, size) | (doc > np.repeat(least, size))]
         run = (self.code == 2) | (self.doc > self.least)
-        step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, self.start[run], 1)
-        np.add.at(step, self.start[run] + self.length[run] - 1 + self.t, -1)
-        np.add.at(step, single, 1)
-        np.add.at(step, single + self.t, -1)
-        return np.cumsum(step[:-1]) > 0
+        begin = np.concatenate([self.start[run], single])
+        end = np.concatenate([self.start[run] + self.length[run] - 1, single]) + self.t
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        if not len(begin):
+            return begin, end
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] > end[:-1]) | np.isin(begin[1:], self.offsets)
+        first = np.flatnonzero(new)
+        return begin[first], end[np.append(first[1:], len(begin)) - 1]
 
 
 def _answers(table: pa.Table) -> dict:
@@ -245,28 +253,29 @@ def _finish(docs: pa.Table, answers: pa.Table, threshold: int, buckets: int, kee
         return schema.empty_table()
     said = _answers(answers)
     batch = _replayed(docs, said, 3, threshold, buckets)
-    gone = batch.covered(said)
-    data, offsets = batch.data, batch.offsets
-    total = np.concatenate([[0], np.cumsum(gone)])
-    first = np.zeros(len(gone) + 1, np.int64)
-    if len(gone):
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-        opens[starts] = gone[starts]
-        first[1:] = np.cumsum(opens)
-    kept, raw = data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])
-    ends = raw[offsets]
-    pieces = [kept[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    out = {"n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": np.diff(first[offsets])}
+    begin, end = batch.covered(said)
+    data, offsets = memoryview(batch.data), batch.offsets
+    n, row = len(offsets) - 1, np.searchsorted(batch.offsets, begin, "right") - 1
+    spans, removed = np.bincount(row, minlength=n), np.bincount(row, weights=end - begin, minlength=n).astype(np.int64)
+    pieces = [data[i:j] for i, j in itertools.pairwise(offsets.tolist())]
+    cuts = np.searchsorted(row, np.arange(n + 1))
+    for r in np.flatnonzero(spans).tolist():
+        own = slice(cuts[r], cuts[r + 1])
+        pieces[r] = b"".join(data[i:j] for i, j in zip([int(offsets[r]), *end[own].tolist()], [*begin[own].tolist(), int(offsets[r + 1])], strict=True))
+    out = {"n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": spans}
     out = {k: pa.array(v, pa.int64()) for k, v in out.items()}
     out["kept_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string())
     if keep_text:
-        out["kept"] = pa.array([p.decode("utf-8", "ignore") for p in pieces], pa.string())
+        out["kept"] = pa.array([str(p, "utf-8", "ignore") for p in pieces], pa.string())
     own = {f.name: docs.column(f.name) for f in schema if f.name not in out}
     return pa.table([own[f.name] if f.name in own else out[f.name] for f in schema], schema=schema)
 
 
+def dealt(total: int, least: int, batch_bytes: int = BATCH_BYTES) -> tuple[int, int]:
+    """Into how many batches and buckets so many bytes of text go: at least one for each shuffle partition."""
+    return max(least, math.ceil(total / batch_bytes), 1), max(least, math.ceil(total / max(batch_bytes, BUCKET_BYTES)), 1)
+
+
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, keep_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Removes each byte covered by a `threshold`-byte string that also starts in a document of smaller id.
 
@@ -275,9 +284,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    total = text_bytes(docs, text_col)
-    n = batches(docs, total, batch_bytes)
-    buckets = max(partitions(docs.sparkSession), n // 2)
+    n, buckets = dealt(text_bytes(docs, text_col), partitions(docs.sparkSession), batch_bytes)
     named = docs if keep_text else docs.select(id_col, text_col)
     own = [f"__own{i}" for i in range(len(named.columns))]
     id_at, text_at = named.columns.index(id_col), named.columns.index(text_col)

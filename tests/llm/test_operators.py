@@ -61,6 +61,21 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_rows_between_batches_and_buckets():
+    # about the text of 6 GB of input, and the shuffle partitions that go with it
+    batches, buckets = suffix_dedup.dealt(10_500_000_000, 600)
+    assert batches >= 600 and buckets >= 600 and batches * buckets < 1_000_000
+    assert suffix_dedup.dealt(0, 4) == (4, 4)
+
+
+def test_whole_copies_side_by_side(spark):
+    texts = [PASSAGE * 3, PASSAGE, PASSAGE + "tail", "ü" + PASSAGE + "x" * 60, "", "x" * 55]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for size in (300, 1 << 20) for r in suffix_dedup.dedup_windows(docs, batch_bytes=size).collect()}
+    n = len(PASSAGE)
+    assert got == {0: (0, 0), 1: (n, 1), 2: (n, 1), 3: (n, 1), 4: (0, 0), 5: (55, 1)}
+
+
 def test_near_duplicates(docs, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
     assert {(0, 119, 0), (1, 119, 0), (2, 119, 0)} <= got
