@@ -11,7 +11,9 @@ digits are exactly the repeated windows. The digits of a suffix are
 
 Documents are dealt into batches of some megabytes by their id, and digits into buckets of about twice as much text. In each pass a batch posts what it holds once, with
 its smallest document, to the bucket of the digit's leading bits; a bucket answers in the order posted. So a passage
-that stands in a third of all documents is a row for each batch, not for each copy, and nothing is broadcast. Digits 2
+that stands in a third of all documents is a row for each batch, not for each copy, and nothing is broadcast. What a
+batch has learnt goes with its posts and comes back with the answers, as places in its documents' order of id and text: so
+no pass is asked twice, and after the second only bytes of runs that matter are hashed. Digits 2
 and 3, which decide, are 128 bits of two independent hashes, so that unequal windows don't meet in a corpus of any size;
 digit 1 is cut to 48 bits, which can only make later passes look at more.
 
@@ -43,8 +45,57 @@ POSTS = "__bucket long, __batch long, __kind int, a binary, b binary, c binary"
 ANSWERS = "__batch long, __bucket long, __kind int, a binary"
 
 
+def in_order(docs: pa.Table) -> pa.Table:
+    """Rows come in any order from a shuffle; places of bytes hold from pass to pass in this one. Rows that tie have one text."""
+    return docs.sort_by([("__id", "ascending"), ("__text", "ascending")])
+
+
+def expanded(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Every place in stretches that begin there and are so long."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def stretches(begin: np.ndarray, end: np.ndarray, apart: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Where the union of intervals begins and ends; those that begin at places `apart` are not joined to what touches them."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    if not len(begin):
+        return begin, end
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | np.isin(begin[1:], apart)
+    first = np.flatnonzero(new)
+    return begin[first], end[np.append(first[1:], len(begin)) - 1]
+
+
+class Covered:
+    """The bytes that the windows of some runs cover, put together: late passes hash these alone."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int):
+        self.t = threshold
+        self.begin, end = stretches(start, start + length - 1 + threshold)
+        size = end - self.begin
+        self.place = np.cumsum(size) - size
+        edge = np.zeros(len(data) + 1, np.int8)  # stretches don't touch; places as indices would be many times the text
+        edge[self.begin], edge[end] = 1, -1
+        self.data = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.begin, at, "right") - 1
+        return at - self.begin[k] + self.place[k]
+
+    def halves(self, family: int) -> np.ndarray:
+        return bw.half_hashes(self.data, self.t, family)
+
+
+def parts(sorted_values: np.ndarray, bits: int, buckets: int) -> list[tuple[int, slice]]:
+    """The values of each bucket that has any: by the leading 32 bits."""
+    bounds = -(-(np.arange(1, buckets, dtype=object) << bits) // buckets)
+    edges = np.concatenate([[0], np.searchsorted(sorted_values, np.array(bounds, dtype=np.uint64)), [len(sorted_values)]]).astype(np.int64)
+    return [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
+
+
 class Batch:
-    """The documents of a batch, their runs, and what the buckets have answered so far."""
+    """The documents of a batch and their runs, for the first two passes."""
 
     def __init__(self, docs: pa.Table, threshold: int, buckets: int):
         self.t, self.buckets = threshold, buckets
@@ -69,15 +120,6 @@ class Batch:
         self.doc = self.ids[self.row]
         self.digit = digits[self.start] >> DIGIT_SHIFT
 
-    def bucket_edges(self, sorted_values: np.ndarray, bits: int) -> np.ndarray:
-        """Where the values of each bucket begin: by the leading 32 bits."""
-        bounds = -(-(np.arange(1, self.buckets, dtype=object) << bits) // self.buckets)
-        return np.concatenate([[0], np.searchsorted(sorted_values, np.array(bounds, dtype=np.uint64)), [len(sorted_values)]]).astype(np.int64)
-
-    def parts(self, sorted_values: np.ndarray, bits: int):
-        edges = self.bucket_edges(sorted_values, bits)
-        return [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
-
     # Pass 1: which digits lie in more than one document.
     def first(self):
         order = np.lexsort((self.doc, self.digit))
@@ -88,14 +130,14 @@ class Batch:
 
     def post_first(self):
         _, _, value, several = self.first()
-        for b, part in self.parts(value, 48):
+        for b, part in parts(value, 48, self.buckets):
             yield b, 1, packed_sorted(value[part]), np.packbits(several[part]).tobytes(), b""
 
     def keep_shared(self, answers: dict):
         """Only runs whose digit is shared go on."""
         order, at, value, _ = self.first()
         shared = np.zeros(len(value), bool)
-        for b, part in self.parts(value, 48):
+        for b, part in parts(value, 48, self.buckets):
             if (1, b) in answers:
                 shared[part] = np.unpackbits(np.frombuffer(answers[1, b], np.uint8), count=part.stop - part.start).astype(bool)
         keep = np.zeros(len(self.digit), bool)
@@ -103,46 +145,70 @@ class Batch:
         for k in ("start", "length", "row", "doc", "digit"):
             setattr(self, k, getattr(self, k)[keep])
         ends = self.start + self.length - 1
-        other = bw.half_hashes(self.data, self.t, 1)
-        self.halves = (self.halves, other)
-        self.span = np.stack([self.span_hashes(k, ends) for k in (0, 1)], axis=1) if len(ends) else np.empty((0, 2), np.uint64)
+        if not len(ends):
+            self.span = np.empty((0, 2), np.uint64)
+            return
+        one = self.span_hashes(self.halves, self.start, ends)
+        del self.halves  # as large as those of the other family
+        own = Covered(self.data, self.start, self.length, self.t)
+        self.span = np.stack([one, self.span_hashes(own.halves(1), own.places(self.start), own.places(ends))], axis=1)
         # a run of up to `half + 1` windows is no longer than two windows: their hashes are those of all its bytes
 
-    def span_hashes(self, family: int, ends: np.ndarray) -> np.ndarray:
-        halves = self.halves[family]
-        span = bw.window_hashes(halves, self.start, self.t) * np.uint64(0x9FB21C651E98DF25) + bw.window_hashes(halves, ends, self.t)
+    def span_hashes(self, halves: np.ndarray, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        span = bw.window_hashes(halves, start, self.t) * np.uint64(0x9FB21C651E98DF25) + bw.window_hashes(halves, ends, self.t)
         return bw.mixed(span + self.length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     # Pass 2: which runs are equal through their last byte, and where runs part.
-    def second(self):
+    def post_second(self):
         order = np.lexsort((self.doc, self.span[:, 1], self.span[:, 0], self.digit))
         digit, span, doc = self.digit[order], self.span[order], self.doc[order]
         at = starts_of(digit, span[:, 0], span[:, 1])
-        return order, at, digit[at], span[at], doc[at]
-
-    def post_second(self):
-        _, _, digit, span, doc = self.second()
-        for b, part in self.parts(digit, 48):
+        new = np.zeros(len(order), np.int64)
+        new[at] = 1
+        digit, span, doc = digit[at], span[at], doc[at]
+        for b, part in parts(digit, 48, self.buckets):
             yield b, 2, packed_sorted(digit[part]), packed(span[part]), packed(doc[part])
+        yield -1, 0, packed(np.concatenate([self.start[order], self.length[order], new])), b"", b""
+
+
+class Late:
+    """The documents of a batch, for the passes that know which runs matter: these come with the answers."""
+
+    def __init__(self, docs: pa.Table, threshold: int, buckets: int):
+        self.t, self.buckets = threshold, buckets
+        self.data, self.offsets = text_buffers(docs.column("__text"))
+        self.ids = docs.column("__id").to_numpy()
+
+    def doc_of(self, start: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.offsets, start, "right") - 1]
 
     def read_second(self, answers: dict):
-        """code 2: an earlier document has the run; 1: nobody earlier has, but runs of the same digit differ."""
-        order, at, digit, _, doc = self.second()
-        code = np.zeros(len(digit), np.uint8)
-        for b, part in self.parts(digit, 48):
-            if (2, b) in answers:
-                code[part] = unpacked(answers[2, b], np.uint8)
-        size = np.diff(np.append(at, len(order)))
-        self.code, self.least = np.empty(len(order), np.uint8), np.empty(len(order), np.int64)
-        self.code[order], self.least[order] = np.repeat(code, size), np.repeat(doc, size)
+        """Runs to be covered whole, as intervals, and the first of each of those that go on as single windows.
+
+        The code of a run is 2 if an earlier document has it, 1 if nobody earlier has but runs of its digit differ.
+        """
+        start, length, new = unpacked(answers.get((0, -1), b""), np.int64).reshape(3, -1)
+        doc, at = self.doc_of(start), np.flatnonzero(new)
+        code = np.concatenate([np.empty(0, np.uint8), *(unpacked(answers[k], np.uint8) for k in sorted(answers) if k[0] == 2)])
+        size = np.diff(np.append(at, len(start)))
+        code, least = np.repeat(code, size), np.repeat(doc[at], size)
+        run, take = (code == 2) | (doc > least), (code == 1) & (doc == least)
+        self.begin, self.end = stretches(start[run], start[run] + length[run] - 1 + self.t, self.offsets)
+        self.start, self.length = start[take], length[take]
+
+    def read_third(self, answers: dict):
+        state = unpacked(answers.get((0, -1), b""), np.int64)
+        n = int(state[0]) if len(state) else 0
+        (self.begin, self.end), (self.start, self.length) = state[1 : 1 + 2 * n].reshape(2, -1), state[1 + 2 * n :].reshape(2, -1)
 
     # Pass 3: single windows, of the first document with each run, where runs part.
     def third(self):
-        take = (self.code == 1) & (self.doc == self.least)
-        start, length = self.start[take], self.length[take]
-        first = np.cumsum(length) - length
-        at = np.repeat(start - first, length) + np.arange(length.sum())
-        return at, *(bw.window_hashes(h, at, self.t) for h in self.halves), np.repeat(self.doc[take], length)
+        at = expanded(self.start, self.length)
+        if not len(at):
+            return at, np.empty(0, np.uint64), np.empty(0, np.uint64), self.ids[:0]
+        own = Covered(self.data, self.start, self.length, self.t)
+        place = expanded(own.places(self.start), self.length)
+        return at, *(bw.window_hashes(own.halves(k), place, self.t) for k in (0, 1)), np.repeat(self.doc_of(self.start), self.length)
 
     def posted_third(self):
         at, value, other, doc = self.third()
@@ -153,64 +219,58 @@ class Batch:
 
     def post_third(self):
         _, _, _, value, other, doc, _ = self.posted_third()
-        for b, part in self.parts(value, 64):
+        for b, part in parts(value, 64, self.buckets):
             yield b, 3, packed_sorted(value[part]), packed(doc[part]), packed(other[part])
+        yield -1, 0, packed(np.concatenate([[len(self.begin)], self.begin, self.end, self.start, self.length])), b"", b""
 
     def covered(self, answers: dict) -> tuple[np.ndarray, np.ndarray]:
         """Where covered stretches begin and end; none goes over the end of a document."""
         at, order, new, value, _, least, doc = self.posted_third()
         earlier = np.zeros(len(value), bool)
-        for b, part in self.parts(value, 64):
+        for b, part in parts(value, 64, self.buckets):
             if (3, b) in answers:
                 earlier[part] = np.unpackbits(np.frombuffer(answers[3, b], np.uint8), count=part.stop - part.start).astype(bool)
         size = np.diff(np.append(new, len(order)))
         single = at[order][np.repeat(earlier, size) | (doc > np.repeat(least, size))]
-        run = (self.code == 2) | (self.doc > self.least)
-        begin = np.concatenate([self.start[run], single])
-        end = np.concatenate([self.start[run] + self.length[run] - 1, single]) + self.t
-        order = np.argsort(begin)
-        begin, end = begin[order], np.maximum.accumulate(end[order])
-        if not len(begin):
-            return begin, end
-        new = np.ones(len(begin), bool)
-        new[1:] = (begin[1:] > end[:-1]) | np.isin(begin[1:], self.offsets)
-        first = np.flatnonzero(new)
-        return begin[first], end[np.append(first[1:], len(begin)) - 1]
+        return stretches(np.concatenate([self.begin, single]), np.concatenate([self.end, single + self.t]), self.offsets)
 
 
 def _answers(table: pa.Table) -> dict:
     return {(k, b): a for k, b, a in zip(*(table.column(c).to_pylist() for c in ("__kind", "__bucket", "a")), strict=True)}
 
 
-def _replayed(docs: pa.Table, answers: dict, upto: int, threshold: int, buckets: int) -> Batch:
-    batch = Batch(docs, threshold, buckets)
-    if upto >= 2:
-        batch.keep_shared(answers)
-    if upto >= 3:
-        batch.read_second(answers)
-    return batch
-
-
-def _posts(batch_no: int, rows) -> pa.Table:
-    rows = list(rows)
+def _posts(batch_no: int, rows, buckets: int) -> pa.Table:
+    """Kind 0 is for the batch itself: it takes the way of the answers, in a group of its own."""
+    rows = [(buckets + batch_no if kind == 0 else b, kind, *rest) for b, kind, *rest in rows]
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.table({"__bucket": pa.array(cols[0], pa.int64()), "__batch": pa.array([batch_no] * len(rows), pa.int64()), "__kind": pa.array(cols[1], pa.int32()), **{c: pa.array(cols[2 + i], pa.binary()) for i, c in enumerate("abc")}})
 
 
 def _post_first(docs: pa.Table, threshold: int, buckets: int) -> pa.Table:
-    return _posts(docs.column("__batch")[0].as_py(), Batch(docs, threshold, buckets).post_first())
+    return _posts(docs.column("__batch")[0].as_py(), Batch(docs, threshold, buckets).post_first(), buckets)
+
+
+def _post_second(docs: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa.Table:
+    if not docs.num_rows:
+        return _posts(0, [], buckets)
+    batch = Batch(in_order(docs.select(["__id", "__text"])), threshold, buckets)
+    batch.keep_shared(_answers(answers))
+    return _posts(docs.column("__batch")[0].as_py(), batch.post_second(), buckets)
 
 
-def _post_next(docs: pa.Table, answers: pa.Table, kind: int, threshold: int, buckets: int) -> pa.Table:
+def _post_third(docs: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa.Table:
     if not docs.num_rows:
-        return _posts(0, [])
-    batch = _replayed(docs, _answers(answers), kind, threshold, buckets)
-    return _posts(docs.column("__batch")[0].as_py(), batch.post_second() if kind == 2 else batch.post_third())
+        return _posts(0, [], buckets)
+    batch = Late(in_order(docs.select(["__id", "__text"])), threshold, buckets)
+    batch.read_second(_answers(answers))
+    return _posts(docs.column("__batch")[0].as_py(), batch.post_third(), buckets)
 
 
 def _answer(posts: pa.Table) -> pa.Table:
     """What a bucket has to say to each batch, in the order posted."""
     kind, bucket = posts.column("__kind")[0].as_py(), posts.column("__bucket")[0].as_py()
+    if kind == 0:
+        return pa.table({"__batch": posts.column("__batch"), "__bucket": pa.array([-1] * posts.num_rows, pa.int64()), "__kind": posts.column("__kind"), "a": posts.column("a")})
     a, b, c = (posts.column(k).to_pylist() for k in "abc")
     value = [unpacked_sorted(x) for x in a]
     size = np.array([len(v) for v in value])
@@ -251,8 +311,9 @@ def _answer(posts: pa.Table) -> pa.Table:
 def _finish(docs: pa.Table, answers: pa.Table, threshold: int, buckets: int, keep_text: bool, schema: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return schema.empty_table()
-    said = _answers(answers)
-    batch = _replayed(docs, said, 3, threshold, buckets)
+    docs, said = in_order(docs), _answers(answers)
+    batch = Late(docs, threshold, buckets)
+    batch.read_third(said)
     begin, end = batch.covered(said)
     data, offsets = memoryview(batch.data), batch.offsets
     n, row = len(offsets) - 1, np.searchsorted(batch.offsets, begin, "right") - 1
@@ -300,14 +361,14 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return base.groupBy("__batch").cogroup(answers.groupBy("__batch"))
 
     one = answered(base.groupBy("__batch").applyInArrow(lambda t: _post_first(t, **args), POSTS))
-    two = answered(with_docs(one).applyInArrow(lambda t, a: _post_next(t, a, kind=2, **args), POSTS))
-    three = answered(with_docs(one.union(two)).applyInArrow(lambda t, a: _post_next(t, a, kind=3, **args), POSTS))
+    two = answered(with_docs(one).applyInArrow(lambda t, a: _post_second(t, a, **args), POSTS))
+    three = answered(with_docs(two).applyInArrow(lambda t, a: _post_third(t, a, **args), POSTS))
     fields = [T.StructField(c, f.dataType) for c, f in zip(own, named.schema.fields, strict=True) if c != own[text_at]]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept", T.StringType())] * keep_text
     out = T.StructType(fields)
     schema = to_arrow_schema(out)
-    done = with_docs(one.union(two).union(three)).applyInArrow(lambda t, a: _finish(t, a, keep_text=keep_text, schema=schema, **args), out)
+    done = with_docs(three).applyInArrow(lambda t, a: _finish(t, a, keep_text=keep_text, schema=schema, **args), out)
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     back = [F.col(c).alias(name) for c, name in zip(own, named.columns, strict=True) if c != own[text_at] and name not in new]
     return done.select(*back, *new)

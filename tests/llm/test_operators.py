@@ -11,6 +11,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +70,37 @@ def test_rows_between_batches_and_buckets():
     assert suffix_dedup.dealt(0, 4) == (4, 4)
 
 
+def test_no_pass_is_asked_twice(spark):
+    docs = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE)], "doc_id long, text string")
+    plan = suffix_dedup.dedup_windows(docs)._jdf.queryExecution().logical().toString()
+    # posts of the first pass and the answers of three; batches read answers in the second, the third and at the end
+    assert (plan.count("FlatMapGroupsInArrow"), plan.count("FlatMapCoGroupsInArrow")) == (4, 3)
+
+
+def test_rows_of_a_batch_in_another_order_each_pass():
+    texts = ["a" + PASSAGE, "b" * 70 + PASSAGE[30:120] + "c", "", PASSAGE[:80] + "d" * 60 + PASSAGE[10:], "d" * 57, PASSAGE[5:]]
+    ids = [4, 7, 5, 9, 2**63 - 1, 2**63 - 1]
+    docs = pa.table({"__id": ids, "__text": texts, "__batch": [0] * len(ids)})
+    schema = pa.schema([("__id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+    def said(posts):
+        return pa.concat_tables(suffix_dedup._answer(posts.filter(pc.equal(posts["__bucket"], b))) for b in set(posts["__bucket"].to_pylist()))
+
+    one = said(suffix_dedup._post_first(docs, 50, 3))
+    two = said(suffix_dedup._post_second(docs.take([5, 3, 1, 0, 2, 4]), one, 50, 3))
+    three = said(suffix_dedup._post_third(docs.take([4, 5, 2, 3, 0, 1]), two, 50, 3))
+    got = suffix_dedup._finish(docs.take([1, 0, 4, 2, 5, 3]), three, 50, 3, False, schema).to_pylist()
+    first, want = {}, []
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if first.setdefault(t[j : j + 50], i) < i:
+                gone[j : j + 50] = b"1" * 50
+        kept = "".join(x for x, g in zip(t, gone, strict=True) if not g).encode()
+        want.append((i, len(t), len(t) - len(kept), len(re.findall(b"1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert sorted(tuple(r.values()) for r in got) == sorted(want) and sum(w[2] for w in want)
+
+
 def test_whole_copies_side_by_side(spark):
     texts = [PASSAGE * 3, PASSAGE, PASSAGE + "tail", "ü" + PASSAGE + "x" * 60, "", "x" * 55]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
