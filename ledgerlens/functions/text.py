@@ -181,7 +181,7 @@ def half_precision(vector):
     import numpy as np
     import pandas as pd
 
-    return pd.Series([None if v is None else np.asarray(v, np.float16).astype(np.float32).tolist() for v in vector])
+    return pd.Series([None if v is None else np.asarray(v, np.float16).astype(np.float32) for v in vector])
 
 
 def cosine(a: Column, b: Column) -> Column:
